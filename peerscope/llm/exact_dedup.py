@@ -50,7 +50,11 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``documents`` without the rows whose text another row with a larger id has, and without repeated rows of an id."""
-    groups = exact_groups(documents, id_column, text_column)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return documents.dropDuplicates([id_column]).join(kept, F.col(id_column).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """``documents`` without the rows whose text another row with a larger id has; of rows alike in id and text one stays."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    kept = exact_groups(documents, id_column, text_column).where("kept")
+    keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
+    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__text"))
+    out = documents.join(keys, same, "left_semi")
+    repeated = not keys.groupBy("__id", "__text").count().where("count > 1").isEmpty()
+    return out.dropDuplicates([id_column, text_column]) if repeated else out
