@@ -32,13 +32,14 @@ def sized(dimension: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(dimension) if rows <= BROADCAST_ROWS else dimension
 
 
-def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left", keys: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left", keys: tuple[str, ...] = (), prefix: str = "", width: tuple[int, int] | None = None) -> DataFrame:
     """``probe`` with the columns of the interval that holds the address in column ``ip``.
 
     ``keys`` are further columns that must be equal, as the month of a temporal join. ``prefix`` goes before the
-    names of the added columns. A null address has no interval.
+    names of the added columns. ``width`` is the result of ``bucket_bits`` where it is known. A null address has
+    no interval.
     """
-    bits, rows = bucket_bits(ranges)
+    bits, rows = width or bucket_bits(ranges)
     added = [c for c in ranges.columns if c not in ("ip_start", "ip_end", *keys)]
     cut = ranges.select(
         F.col("ip_start").alias("__start"), F.col("ip_end").alias("__end"), *(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c).alias(prefix + c) for c in added),
@@ -50,6 +51,13 @@ def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left
     return probe.join(sized(cut, rows), match, how).drop("__start", "__end", "__bucket", *(f"__{k}" for k in keys))
 
 
+def interval_pair_join(flows: DataFrame, ranges: DataFrame, how: str = "left", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``flows`` with the intervals of both ends, their columns prefixed with ``src_`` and ``dst_``."""
+    width = bucket_bits(ranges)
+    source = interval_join(flows, ranges, "intipfrom", how, keys, "src_", width)
+    return interval_join(source, ranges, "intipto", how, keys, "dst_", width)
+
+
 def interval_join_between(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left") -> DataFrame:
     """The same result as a plain BETWEEN join, for small dimensions and as a check."""
     return probe.join(F.broadcast(ranges), F.col(ip).between(F.col("ip_start"), F.col("ip_end")), how).drop("ip_start", "ip_end")

@@ -17,7 +17,7 @@ TOP = 20
 WEEK = ("1998-03-02", "1998-03-08")
 #: The literal tree of the layout queries: split dimension (source, target, date) and value by node id.
 TREE = KdTree(3, 2, {1: (0, 2147483648.0), 2: (1, 2147483648.0), 3: (1, 1073741824.0), 4: (2, 883612800000.0), 5: (2, 915148800000.0), 6: (0, 1073741824.0), 7: (2, 852076800000.0)})
-BOX = layout.Box({"intipfrom": 1000000000, "flow_date": "1997-01-01"}, {"intipfrom": 3000000000, "intipto": 2500000000, "flow_date": "1999-06-30"})
+BOX = layout.Box({"intipfrom": 1200000000, "flow_date": "1998-02-01"}, {"intipfrom": 3000000000, "intipto": 2500000000, "flow_date": "1998-11-30"})
 NEIGHBOURS = 10
 
 
@@ -49,8 +49,7 @@ def as_ingoing_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_pair_counts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     ranges = view(spark, sf_dir, "as_ranges")
     flows = view(spark, sf_dir, "flows").select("intipfrom", "intipto")
-    both = enrich.interval_join(enrich.interval_join(flows, ranges, "intipfrom", how, prefix="src_"), ranges, "intipto", how, prefix="dst_")
-    return ordered(enrich.counted(both, "src_as_name", "dst_as_name"))
+    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges, how), "src_as_name", "dst_as_name"))
 
 
 def as_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +76,7 @@ def country_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def country_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per source and target country; either side may be null."""
     flows, ranges = view(spark, sf_dir, "flows").select("intipfrom", "intipto"), countries(spark, sf_dir)
-    both = enrich.interval_join(enrich.interval_join(flows, ranges, "intipfrom", prefix="src_"), ranges, "intipto", prefix="dst_")
-    return ordered(enrich.counted(both, "src_country", "dst_country"))
+    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges), "src_country", "dst_country"))
 
 
 def city_counts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
@@ -98,8 +96,9 @@ def city_outgoing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_counts(flows: DataFrame, names: DataFrame) -> DataFrame:
-    """Flows per target address and name. They are counted per address before the join, which keeps the partitioning."""
-    return ordered(enrich.name_join(enrich.counted(flows, "intipto", "ipto"), names, "intipto").select("ipto", "dnsname", "n"))
+    """Flows per target address and name. They are counted by the join's key, so the join needs no further shuffle of them."""
+    named = enrich.name_join(enrich.counted(flows, "intipto"), names, "intipto")
+    return ordered(named.select(int_to_ip(F.col("intipto")).alias("ipto"), "dnsname", "n"))
 
 
 def dns_ingoing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +108,16 @@ def dns_ingoing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dns_ingoing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per grid cell: counts of each cell's addresses, joined once per address."""
-    flows = layout.with_cell(view(spark, sf_dir, "flows").select("intipfrom", "intipto", "ipto"))
-    named = enrich.name_join(enrich.counted(flows, "cell", "intipto", "ipto"), view(spark, sf_dir, "dns"), "intipto")
-    return ordered(enrich.totalled(named, "ipto", "dnsname"))
+    flows = layout.with_cell(view(spark, sf_dir, "flows").select("intipfrom", "intipto"))
+    named = enrich.name_join(enrich.counted(flows, "cell", "intipto"), view(spark, sf_dir, "dns"), "intipto")
+    return ordered(enrich.totalled(named.withColumn("ipto", int_to_ip(F.col("intipto"))), "ipto", "dnsname"))
 
 
 def dns_ingoing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on the table tagged with tree leaves, with the leaf's rank as an integer."""
     flows = layout.with_leaf(view(spark, sf_dir, "flows"), TREE).withColumn("part", layout.leaf_rank(F.col("part"), TREE).cast("int"))
-    named = enrich.name_join(enrich.counted(flows, "part", "intipto", "ipto"), view(spark, sf_dir, "dns"), "intipto")
-    return ordered(named.select("part", "ipto", "dnsname", "n"))
+    named = enrich.name_join(enrich.counted(flows, "part", "intipto"), view(spark, sf_dir, "dns"), "intipto")
+    return ordered(named.select("part", int_to_ip(F.col("intipto")).alias("ipto"), "dnsname", "n"))
 
 
 def dns_ingoing_week(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +163,7 @@ def server_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "flows").select("intipfrom", "intipto", "ipto", F.month("flow_date").alias("mon"))
+    return view(spark, sf_dir, "flows").select("intipfrom", "intipto", F.month("flow_date").alias("mon"))
 
 
 def as_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,15 +175,15 @@ def as_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_pairs_monthly_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per pair of AS names of the month as one text; a missing side is the text ``null``."""
     ranges = view(spark, sf_dir, "as_ranges_monthly")
-    both = enrich.interval_join(enrich.interval_join(dated(spark, sf_dir), ranges, "intipfrom", keys=("mon",), prefix="a_"), ranges, "intipto", keys=("mon",), prefix="b_")
-    return ordered(enrich.counted(both.select(enrich.pair_text(F.col("a_as_name"), F.col("b_as_name")).alias("names")), "names"))
+    both = enrich.interval_pair_join(dated(spark, sf_dir), ranges, keys=("mon",))
+    return ordered(enrich.counted(both.select(enrich.pair_text(F.col("src_as_name"), F.col("dst_as_name")).alias("names")), "names"))
 
 
 def dns_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per target address and its name in the flow's month."""
-    counts = enrich.counted(dated(spark, sf_dir), "intipto", "ipto", "mon")
+    counts = enrich.counted(dated(spark, sf_dir), "intipto", "mon")
     named = enrich.name_join(counts, view(spark, sf_dir, "dns_monthly"), "intipto", keys=("mon",))
-    return ordered(enrich.totalled(named, "ipto", "dnsname"))
+    return ordered(enrich.totalled(named.withColumn("ipto", int_to_ip(F.col("intipto"))), "ipto", "dnsname"))
 
 
 def dns_pairs_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +198,7 @@ def topk_as_pairs_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The AS pairs with most flows in one week."""
     ranges = view(spark, sf_dir, "as_ranges")
     flows = view(spark, sf_dir, "flows").where(F.col("flow_date").between(*(F.lit(d).cast("date") for d in WEEK))).select("intipfrom", "intipto")
-    both = enrich.interval_join(enrich.interval_join(flows, ranges, "intipfrom", prefix="src_"), ranges, "intipto", prefix="dst_")
-    return ordered(enrich.counted(both, "src_as_name", "dst_as_name")).limit(TOP)
+    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges), "src_as_name", "dst_as_name")).limit(TOP)
 
 
 def topk_dns_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,9 +186,9 @@ def replay_files(flows: DataFrame, path: str, files: int) -> None:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver's table as a stream."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A driver's table, a file or a folder, as a stream; a pattern lets the source take a single file."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drained(query: StreamingQuery) -> None:
@@ -221,9 +221,9 @@ def to_memory(frame: DataFrame, mode: str) -> DataFrame:
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and the sum of their values per hour and type."""
-    events = table_stream(spark, sf_dir, "events").withWatermark("ts", "1 hour")
+    events = table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     hourly = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return to_memory(hourly.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
+    return to_memory(hourly.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
 
 
 def exclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
