@@ -99,6 +99,7 @@ WHERE f.intipfrom BETWEEN {BOX.low['intipfrom']} AND {BOX.high['intipfrom']} AND
     "ip_functions": f"""
 SELECT DISTINCT ipto, intipto AS number, {PAD.format('ipto')} AS padded, {QUAD.format('intipto')} AS back, true AS valid FROM {{flows}}""",
     "as_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, as_name FROM {as_ranges}",
+    "country_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, country_code, country_name FROM {country_ranges}",
     "city_names": "SELECT loc_id, 'R' || CAST(n_regionkey AS VARCHAR) AS country_code, city FROM {locations}",
     "knn_embeddings": f"""
 WITH wide AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),

@@ -266,6 +266,12 @@ def as_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select(F.explode(F.sequence("ip_start", F.least("ip_end", F.col("ip_start") + 15))).alias("ip"), "as_name")
 
 
+def country_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 addresses of each country range, with code and name."""
+    ranges = view(spark, sf_dir, "country_ranges")
+    return ranges.select(F.explode(F.sequence("ip_start", F.least("ip_end", F.col("ip_start") + 15))).alias("ip"), "country_code", "country_name")
+
+
 def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations after writing them quoted and reading them with the cleaning reader."""
     from peerscope.sources.loaders import read_locations
@@ -310,7 +316,7 @@ QUERIES = {
         as_ingoing, as_outgoing, as_pairs, as_ingoing_inner, as_pairs_inner, country_outgoing, country_pairs, city_outgoing, city_outgoing_left,
         dns_ingoing_left, dns_ingoing_grid, dns_ingoing_tree, dns_ingoing_week, dns_pairs_inner, dns_pairs_left, dns_pairs_concat, dns_pairs_tree, server_class,
         as_ingoing_monthly, as_pairs_monthly_concat, dns_ingoing_monthly, dns_pairs_monthly, topk_as_pairs_week, topk_dns_bytes, daily_server_traffic,
-        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, kd_pruned_scan, partitioned_table, ip_functions, as_range_explode, city_names,
+        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, kd_pruned_scan, partitioned_table, ip_functions, as_range_explode, country_range_explode, city_names,
         knn_embeddings, hash_sample, stream_leaf_counts, stream_event_windows, stream_marked,
     )
 }

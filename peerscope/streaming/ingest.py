@@ -138,6 +138,19 @@ class LeafTable:
         rows = self.spark.read.parquet(*paths).withColumnRenamed("leaf", "part")
         return rows if box is None else rows.where(box.condition())
 
+    def mapping(self) -> list[tuple[int, int, list[str]]]:
+        """Leaf, rows and folders, by leaf."""
+        now = self.manifest()
+        return [(leaf, now.rows[leaf], list(now.folders[leaf])) for leaf in sorted(now.rows)]
+
+    def drop(self, leaf: int) -> None:
+        """Take a leaf's rows out of the table; its files stay for readers of an older manifest."""
+        now = self.manifest()
+        if leaf in now.rows:
+            del now.rows[leaf], now.folders[leaf]
+            now.version += 1
+            self.publish(now)
+
     def start(self, flows: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
         """Ingest a stream of flows."""
         query = flows.writeStream.foreachBatch(self.append).option("checkpointLocation", checkpoint)

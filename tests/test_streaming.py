@@ -28,6 +28,17 @@ def test_batches_equal_one_batch_and_splits_keep_every_row(spark, tmp_path):
     assert rows(table.read(box).select(flows.columns)) == rows(flows.where(box.condition()))
 
 
+def test_mapping_and_dropped_leaf(spark, tmp_path):
+    flows = view(spark, DATA, "flows")
+    table = table_of(spark, tmp_path / "t", split_rows=2000)
+    table.append(flows, 0)
+    leaf, rows_, folders = table.mapping()[0]
+    assert sum(x[1] for x in table.mapping()) == flows.count() and folders
+    table.drop(leaf)
+    table.drop(10**9)
+    assert table.read().count() == flows.count() - rows_ and leaf not in [x[0] for x in table.mapping()]
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     flows = view(spark, DATA, "flows").limit(50)
     table = table_of(spark, tmp_path / "t")
