@@ -59,22 +59,22 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns ``a`` and ``b`` (long); loops and repeated links do no harm. No links: no rows.
     """
     now = staged(links.select("a", "b").where("a <> b").mapInArrow(local_forests, "a long, b long"), "links")
-    while True:
+    while not is_forest_of_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of a node link with the smallest of the node and its neighbours
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its smaller neighbours link with the smallest of them
-        small = large.where("a < b").distinct()
-        first = small.groupBy("b").agg(F.min("a").alias("m"))
-        star = small.join(first, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        after = staged(star.mapInArrow(local_forests, "a long, b long").distinct(), "links")
-        # done when every node has one parent and no parent has one itself
-        nested = after.select(F.col("a").alias("node")).distinct().join(after.select(F.col("b").alias("node")), "node").isEmpty()
-        single = after.groupBy("b").count().where("count > 1").isEmpty()
-        drop_staged(now)
-        now = after
-        if nested and single:
-            break
+        first = large.groupBy("b").agg(F.min("a").alias("m"))
+        star = large.join(first, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
+        before, now = now, staged(star.distinct().mapInArrow(local_forests, "a long, b long"), "links")
+        drop_staged(before)
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct().union(roots)
+
+
+def is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether no node has two parents, and none has both a parent and a child."""
+    ends = links.distinct().select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    seen = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or up = 1 and down = 1").isEmpty()

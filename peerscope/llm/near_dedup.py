@@ -8,9 +8,9 @@ threshold is verified on the full sets. Links make components.
 
 No bucket is expanded into all its pairs. Equal sets are one class from the start. Then every member is
 compared with the smallest member of its bucket, which joins nearly all that belongs together. Only where a
-bucket still holds several components are members of different components compared, by sketch inside one task
-and by set for those that pass. A bucket too large for that is split by its members' other band keys, which
-similar documents share as well.
+bucket still holds several components are members of different components compared inside one task, by sketch
+and then, for those with a similar sketch, by set; what comes out are links, not pairs. A bucket too large
+for that is split by its members' other band keys, which similar documents share as well.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
 
 def squeezed(documents: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``id`` and compressed ``text`` of the wanted documents."""
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted, "id", "left_semi")
+    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -200,31 +200,37 @@ def squeezed(documents: DataFrame, wanted: DataFrame, id_column: str, text_colum
     return rows.mapInArrow(run, "id long, text binary")
 
 
+class SetCache:
+    """Shingle sets of compressed texts; a few thousand are remembered."""
+
+    def __init__(self, words: int, most: int = 2000):
+        self.words, self.most, self.unpack = words, most, zstandard.ZstdDecompressor().decompress
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def sets(self, packed: list[bytes]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = [x for x in dict.fromkeys(packed) if x not in self.known]
+        for at in range(0, len(new), 200):
+            texts = [self.unpack(x) for x in new[at : at + 200]]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+            found, bounds = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, self.words)
+            self.known.update((x, found[a:b]) for x, a, b in zip(new[at : at + 200], bounds[:-1], bounds[1:], strict=True))
+        return [self.known[x] for x in packed]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose full sets have ``100 * common >= percent * union``."""
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        known: dict[bytes, np.ndarray] = {}
-
-        def sets(packed: list[bytes]) -> list[np.ndarray]:
-            if len(known) > 2000:
-                known.clear()
-            new = [x for x in dict.fromkeys(packed) if x not in known]
-            for at in range(0, len(new), 200):
-                texts_ = [unpack(x) for x in new[at : at + 200]]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts_]))).astype(np.int64)
-                found, bounds = shingle_sets(np.frombuffer(b"".join(texts_), np.uint8), offsets, words)
-                known.update((x, found[a:b]) for x, a, b in zip(new[at : at + 200], bounds[:-1], bounds[1:], strict=True))
-            return [known[x] for x in packed]
-
+        cache = SetCache(words)
         for batch in batches:
             for first_row in range(0, batch.num_rows, 500):
                 part = batch.slice(first_row, 500)
                 keep = []
-                for x, y in zip(sets(part.column("t_a").to_pylist()), sets(part.column("t_b").to_pylist()), strict=True):
+                for x, y in zip(cache.sets(part.column("t_a").to_pylist()), cache.sets(part.column("t_b").to_pylist()), strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(len(x) > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -232,40 +238,94 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From members sorted by bucket: pairs of different components whose sketches may reach the threshold."""
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole buckets from rows sorted by ``key``; about two buckets of the largest size at a time."""
     held: list[pa.RecordBatch] = []
-    least = percent / 100 - MARGIN
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        keys, ids, labels, sizes = (np.asarray(table[k].combine_chunks()) for k in ("key", "id", "label", "n_shingles"))
-        registers = register_matrix(table["registers"].combine_chunks())
-        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            left, right = [], []
-            for k in range(a, b - 1):
-                other = np.arange(k + 1, b)[labels[k + 1 : b] != labels[k]]
-                other = other[100 * np.minimum(sizes[other], sizes[k]) >= percent * np.maximum(sizes[other], sizes[k])]
-                if len(other):
-                    other = other[estimated(registers[other], registers[k][None, :], sizes[other], np.full(len(other), sizes[k])) >= least]
-                    left.append(np.full(len(other), ids[k]))
-                    right.append(ids[other])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
     for batch in batches:
         held.append(batch)
         if sum(x.num_rows for x in held) >= 2 * BUCKET:
             table = pa.Table.from_batches(held)
             keys = np.asarray(table["key"].combine_chunks())
-            whole = int(np.searchsorted(keys, keys[-1]))
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
             if whole:
-                yield from pairs(table.slice(0, whole))
+                yield table.slice(0, whole).combine_chunks()
                 held = table.slice(whole).to_batches()
     if held and sum(x.num_rows for x in held):
-        yield from pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Members:
+    """The members of some buckets as arrays, and for each which later ones of its bucket may be similar."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.keys, self.bands, self.ids, self.labels, self.sizes = (np.asarray(table[k].combine_chunks()).copy() for k in ("key", "band", "id", "label", "n_shingles"))
+        self.registers = register_matrix(table["registers"].combine_chunks())
+        self.percent, self.least = percent, percent / 100 - MARGIN
+        self.edges = np.concatenate(([0], np.flatnonzero(self.keys[1:] != self.keys[:-1]) + 1, [len(self.keys)]))
+
+    def buckets(self) -> Iterator[range]:
+        return (range(a, b) for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True))
+
+    def similar(self, k: int, end: int) -> np.ndarray:
+        """Later members of other components that may reach the threshold; a pair counts in its first common band only."""
+        other = np.arange(k + 1, end)[self.labels[k + 1 : end] != self.labels[k]]
+        other = other[100 * np.minimum(self.sizes[other], self.sizes[k]) >= self.percent * np.maximum(self.sizes[other], self.sizes[k])]
+        if not len(other):
+            return other
+        theirs, own = self.registers[other], self.registers[k]
+        near = estimated(theirs, own[None, :], self.sizes[other], np.full(len(other), self.sizes[k])) >= self.least
+        if self.bands[k] >= 0:
+            same = (theirs == own).reshape(len(other), BANDS, -1).all(axis=2) & (own.reshape(BANDS, -1) != 0).any(axis=1)
+            near &= same.argmax(axis=1) == self.bands[k]
+        return other[near]
+
+
+def promising(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From members sorted by bucket those that have a similar sketch of another component in their bucket."""
+    for table in whole_buckets(batches):
+        members = Members(table, percent)
+        wanted = np.zeros(len(members.keys), bool)
+        for bucket in members.buckets():
+            for k in bucket:
+                if len(other := members.similar(k, bucket.stop)):
+                    wanted[k] = wanted[other] = True
+        yield from table.select(["key", "band", "id", "label"]).filter(pa.array(wanted)).to_batches()
+
+
+def links_across(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """From members sorted by bucket, with their texts: links on full sets that join components of a bucket.
+
+    Members that a link has joined are one component from then on, so a bucket gives fewer links than members.
+    """
+    cache = SetCache(words, 2 * BUCKET)
+    for table in whole_buckets(batches):
+        members = Members(table, percent)
+        sets = cache.sets(table["text"].combine_chunks().to_pylist())
+        found: list[tuple[int, int]] = []
+        for bucket in members.buckets():
+            numbers, place = np.unique(np.concatenate([sets[k] for k in bucket]), return_inverse=True)
+            bounds = np.concatenate(([0], np.cumsum([len(sets[k]) for k in bucket])))
+            mark = np.zeros(len(numbers), bool)
+            for k in bucket:
+                other = members.similar(k, bucket.stop)
+                if not len(other):
+                    continue
+                own = place[bounds[k - bucket.start] : bounds[k - bucket.start + 1]]
+                mark[own] = True
+                begin, size = bounds[other - bucket.start], members.sizes[other]
+                ends = np.cumsum(size)
+                flat = place[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+                common = np.add.reduceat(mark[flat].astype(np.int64), ends - size)
+                mark[own] = False
+                linked = other[100 * common >= percent * (members.sizes[k] + size - common)]
+                for partner in linked.tolist():
+                    if members.labels[partner] != members.labels[k]:
+                        found.append((int(members.ids[k]), int(members.ids[partner])))
+                        part = slice(bucket.start, bucket.stop)
+                        members.labels[part][members.labels[part] == members.labels[partner]] = members.labels[k]
+        if found:
+            links = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], ["a", "b"])
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -274,11 +334,11 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``key, id, label`` of the buckets that hold several components, and the size of those buckets."""
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members ``key, band, id, label, size`` of the buckets that hold several components."""
     known = members.join(labels, "id")
     several = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("key", "size")
-    return known.join(several, "key").select("key", "id", "label", "size"), several
+    return known.join(several, "key").select("key", "band", "id", "label", "size")
 
 
 def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -292,36 +352,37 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_colu
     kind = documents.schema[id_column].dataType
     sketched = staged(summaries(documents, words, id_column, text_column), "sketches")
     filled = sketched.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("digest").agg(F.min("id").alias("first"))
-    whole = staged(filled.join(classes, "digest").where("id = first").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "keys"), "classes")
+    classes = staged(filled.groupBy("digest").agg(F.min("id").alias("first")), "classes")
+    firsts = classes.select(F.col("first").alias("id"))
+    whole = staged(filled.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "keys"), "sketches")
 
-    keys = whole.select("id", F.explode("keys").alias("key")).where("key <> 0")
+    keys = whole.select("id", F.posexplode("keys").alias("band", "key")).where("key <> 0")
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
-    members = staged(keys.join(centres, "key").select("key", "id", "centre"), "members")
+    members = staged(keys.join(centres, "key").select("key", "band", "id", "centre"), "members")
+    texts = staged(squeezed(documents, members.select("id").distinct(), id_column, text_column), "texts")
     pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    tried = staged(likely(pairs, whole, percent), "pairs")
-    both = lambda x: x.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = staged(verified(tried, squeezed(documents, both(tried), id_column, text_column), words, percent), "verified")
+    links = staged(verified(staged(likely(pairs, whole, percent), "pairs"), texts, words, percent), "verified")
     labels = staged(labelled(whole, links), "labels")
 
-    rest, sizes = mixed_buckets(members.select("key", "id"), labels)
-    rest = staged(rest, "mixed")
-    while not rest.where(F.col("size") > bucket).isEmpty():
+    members = members.drop("centre")
+    rest = staged(mixed_buckets(members, labels), "mixed")
+    while not (large := rest.where(F.col("size") > bucket)).isEmpty():
         # similar documents share several keys: split a large bucket by its members' other keys
-        large = rest.where(F.col("size") > bucket).select("key", "id")
-        finer = large.join(members.select(F.col("key").alias("second"), "id"), "id").where("second <> key").select(F.xxhash64("key", "second").alias("key"), "id")
-        split, _ = mixed_buckets(finer, labels)
-        before, rest = rest, staged(rest.where(F.col("size") <= bucket).union(split), "mixed")
+        others = members.select(F.col("key").alias("second"), "id")
+        finer = large.select("key", "id").join(others, "id").where("second <> key").select(F.xxhash64("key", "second").alias("key"), F.lit(-1).alias("band"), "id")
+        before, rest = rest, staged(rest.where(F.col("size") <= bucket).union(mixed_buckets(finer, labels)), "mixed")
         if rest.agg(F.max("size")).first()[0] == before.agg(F.max("size")).first()[0]:
             bucket *= 2  # alike in all keys: compare them after all
-    if not rest.isEmpty():
-        detailed = rest.select("key", "id", "label").join(whole.select("id", "n_shingles", "registers"), "id")
-        more = detailed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: across(b, percent), "a long, b long")
-        new = staged(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            found = verified(new, squeezed(documents, both(new), id_column, text_column), words, percent)
-            links = links.union(staged(found, "verified"))
-            labels = staged(labelled(whole, links), "labels")
+    sketch = whole.select("id", "n_shingles", "registers")
+    by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "id")
+    close = by_bucket(rest.drop("size").join(sketch, "id")).mapInArrow(lambda b: promising(b, percent), "key long, band int, id long, label long")
+    close = staged(close, "promising")
+    if not close.isEmpty():
+        detailed = by_bucket(close.join(sketch, "id").join(texts, "id"))
+        more = staged(detailed.mapInArrow(lambda b: links_across(b, words, percent), "a long, b long"), "verified")
+        if not more.isEmpty():
+            stars = labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+            labels = staged(labelled(whole, stars.union(more)), "labels")
 
     own = classes.join(labels.withColumnRenamed("id", "first"), "first").select("digest", "label")
     out = sketched.drop("registers", "keys").join(own, "digest", "left")

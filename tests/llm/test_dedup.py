@@ -84,23 +84,30 @@ def test_removed_repeats_equal_brute_force(spark, seed, most):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
-def test_parts_of_long_documents(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 400)
-    rows = repeated_rows(5)
-    data = [(t or "").encode() for _, t in rows]
+@pytest.mark.parametrize("part", [400, 1 << 30])
+def test_every_span_has_its_anchor(monkeypatch, part):
+    """The least gram of every span is an anchor, however the documents are cut into parts."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+    data = [(t or "").encode() for _, t in repeated_rows(5)]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8)
     found = [suffix_dedup.anchors(flat, offsets, g, 100, 32) for g in suffix_dedup.parts(offsets, 100)]
-    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 30)
-    whole = [suffix_dedup.anchors(flat, offsets, g, 100, 32) for g in suffix_dedup.parts(offsets, 100)]
-    one = {tuple(int(x[k]) for x in f) for f in whole for k in range(len(f[0]))}
-    many = {tuple(int(x[k]) for x in f) for f in found for k in range(len(f[0]))}
-    # block edges only ever add anchors; those that matter are the same
-    assert one <= many
+    have = {(int(r), int(p)): (int(k), int(c)) for rows, places, keys, contexts in found for r, p, k, c in zip(rows, places, keys, contexts)}
+    by_context = {}
+    for row, text in enumerate(data):
+        grams = suffix_dedup.mixed(suffix_dedup.PrefixHash(np.frombuffer(text, np.uint8)).grams(32))
+        order = grams >> np.uint64(32)
+        for start in range(len(text) - 99):
+            window = order[start : start + 69]
+            for place in np.flatnonzero(window == window.min()) + start:
+                key, context = have[row, int(place)]
+                assert key == int(grams[place].view(np.int64))
+                seen = by_context.setdefault((key, context), text[max(0, place - 68) : place + 100])
+                assert seen == text[max(0, place - 68) : place + 100]
 
 
 def test_repeated_ids_and_empty_tables(spark):
-    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(300))
+    text = "".join(random.Random(4).choices("abcdefgh", k=300))
     frame = spark.createDataFrame([(1, text + text, "a"), (1, text + text, "b"), (2, text, "c")], SCHEMA)
     assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect()) == [(1, 300), (1, 300), (2, 300)]
     assert suffix_dedup.remove_repeats(frame.limit(0)).count() == 0
@@ -109,7 +116,7 @@ def test_repeated_ids_and_empty_tables(spark):
 
 
 def test_texts_are_cut_at_characters(spark):
-    shared = "é" * 30 + "".join(random.Random(8).choice("abcdefgh") for _ in range(100))
+    shared = "é" * 30 + "".join(random.Random(8).choices("abcdefgh", k=100))
     frame = spark.createDataFrame([(1, shared, None), (2, "\u00c9\u00e8" + shared + "!", None), (3, None, None)], SCHEMA)
     kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(frame, keep_columns=True).collect()}
     assert kept == {1: shared, 2: "\u00c9\u00e8!", 3: None}
