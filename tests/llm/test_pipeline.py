@@ -21,7 +21,8 @@ def test_stages_take_effect_on_planted_cases(spark):
     words = long[1].split(" ")
     words[70] = "changed"
     passage = " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(60))
-    planted = [(9000, long[1], "en", "s", 1), (9001, " ".join(words), "en", "s", 1), (9002, "12 34 !!", "en", "s", 8), (9003, None, None, None, None), (9004, f"First {passage} begin.", "en", "s", 1), (9005, f"Second text with {passage} and more words.", "en", "s", 1)]
+    own = [" ".join("".join(draw.choice("ijklmnop") for _ in range(6)) for _ in range(80)) for _ in range(2)]
+    planted = [(9000, long[1], "en", "s", 1), (9001, " ".join(words), "en", "s", 1), (9002, "12 34 !!", "en", "s", 8), (9003, None, None, None, None), (9004, f"First {own[0]} {passage} begin.", "en", "s", 1), (9005, f"Second text with {own[1]} {passage} and more words.", "en", "s", 1)]
     docs = spark.createDataFrame(rows + planted, spark.read.parquet(f"{DATA}/documents.parquet").schema)
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
