@@ -93,10 +93,10 @@ def server_class(source_known: Column, target_known: Column) -> Column:
 
 
 def classified(flows: DataFrame, servers: DataFrame) -> DataFrame:
-    """``flows`` with ``server_class``."""
-    known = servers.select("ip").distinct()
+    """``flows`` with ``server_class``, by the numbers of the addresses."""
+    known = servers.select("intip").dropna().distinct()
     rows = known.count()
-    source = sized(known.select(F.col("ip").alias("__from")), rows)
-    target = sized(known.select(F.col("ip").alias("__to")), rows)
-    joined = flows.join(source, F.col("ipfrom") == F.col("__from"), "left").join(target, F.col("ipto") == F.col("__to"), "left")
+    source = sized(known.select(F.col("intip").alias("__from")), rows)
+    target = sized(known.select(F.col("intip").alias("__to")), rows)
+    joined = flows.join(source, F.col("intipfrom") == F.col("__from"), "left").join(target, F.col("intipto") == F.col("__to"), "left")
     return joined.withColumn("server_class", server_class(F.col("__from").isNotNull(), F.col("__to").isNotNull())).drop("__from", "__to")

@@ -40,7 +40,7 @@ class KdTree:
 
     def split(self, leaf: int, points: np.ndarray) -> tuple[int, int] | None:
         """Split a leaf by its points; its new children, right first, or None if the points are all alike."""
-        found = split_of(np.asarray(points, np.float64), min(len(points), max(2, len(points))))
+        found = split_of(np.asarray(points, np.float64), len(points))
         if found is None:
             return None
         self.splits[leaf] = found

@@ -6,10 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.functions.ip import int_to_ip, ip_to_int
 from peerscope.operators.kdtree import KdTree
 from peerscope.sources.sinks import write_partitioned
 
@@ -134,7 +133,7 @@ def predicate_text(tree: KdTree, box: Box, columns: tuple[str, ...] = TREE_COLUM
     return "WHERE " + (" OR ".join(f"part='{x}'" for x in tree.boxed(*box.limits(columns))) or "false")
 
 
-def address_box(source: tuple[str, str] | None = None, target: tuple[str, str] | None = None, dates: tuple[str, str] | None = None, spark: SparkSession | None = None) -> Box:
+def address_box(source: tuple[str, str] | None = None, target: tuple[str, str] | None = None, dates: tuple[str, str] | None = None) -> Box:
     """A box from dotted addresses and dates."""
     box = Box({}, {})
     number = lambda ip: int.from_bytes(bytes(map(int, ip.split("."))))
@@ -145,5 +144,3 @@ def address_box(source: tuple[str, str] | None = None, target: tuple[str, str] |
         box.low["flow_date"], box.high["flow_date"] = dates
     return box
 
-
-__all__ = ["Box", "address_box", "build_tree", "even_points", "grid_index", "int_to_ip", "ip_to_int", "leaf_condition", "leaf_function", "leaf_rank", "predicate_text", "prune", "unique_addresses", "with_cell", "with_leaf", "write_layout"]

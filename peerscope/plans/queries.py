@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from peerscope.functions.ip import int_to_ip, ip_to_int, is_ipv4, pad_ip
 from peerscope.operators import enrich, knn, layout
 from peerscope.operators.kdtree import KdTree
-
 from peerscope.sources.views import view
-from peerscope.staging import shared_folder
+from peerscope.staging import work_folder
 from peerscope.streaming import ingest
 
 TOP = 20
@@ -159,7 +158,7 @@ def dns_pairs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def server_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per class of known servers."""
-    return enrich.counted(enrich.classified(view(spark, sf_dir, "flows").select("ipfrom", "ipto"), view(spark, sf_dir, "servers")), "server_class")
+    return enrich.counted(enrich.classified(view(spark, sf_dir, "flows").select("intipfrom", "intipto"), view(spark, sf_dir, "servers")), "server_class")
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +210,8 @@ def topk_dns_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_server_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows and bytes to known servers per day."""
-    servers = view(spark, sf_dir, "servers").select("ip").distinct()
-    flows = view(spark, sf_dir, "flows").join(enrich.sized(servers, servers.count()), F.col("ipto") == F.col("ip"), "left_semi")
+    servers = view(spark, sf_dir, "servers").select("intip").distinct()
+    flows = view(spark, sf_dir, "flows").join(enrich.sized(servers, servers.count()), F.col("intipto") == F.col("intip"), "left_semi")
     return flows.groupBy("flow_date").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
 
 
@@ -240,14 +239,14 @@ def unique_ips_per_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kd_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a box, read from a table laid out by leaves: other leaves' folders are not opened."""
-    path = f"{shared_folder(spark).rstrip('/')}/peerscope/layout-{abs(hash(sf_dir))}"
+    path = work_folder(spark, "layout")
     layout.write_layout(view(spark, sf_dir, "flows"), path, TREE)
     return layout.prune(spark.read.parquet(path), TREE, BOX).select("intipfrom", "intipto", "flow_date", "ipsize", F.col("part").cast("long").alias("part"))
 
 
 def partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows and bytes per partition of the partitioned table, read back from its folders."""
-    path = f"{shared_folder(spark).rstrip('/')}/peerscope/table-{abs(hash(sf_dir))}"
+    path = work_folder(spark, "table")
     layout.write_layout(view(spark, sf_dir, "flows"), path, TREE)
     rows = spark.read.parquet(path).withColumn("part", F.col("part").cast("long"))
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
@@ -276,7 +275,7 @@ def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations after writing them quoted and reading them with the cleaning reader."""
     from peerscope.sources.loaders import read_locations
 
-    path = f"{shared_folder(spark).rstrip('/')}/peerscope/locations-{abs(hash(sf_dir))}"
+    path = work_folder(spark, "locations")
     rows = view(spark, sf_dir, "locations").select("loc_id", F.concat(F.lit("R"), "n_regionkey").alias("country_code"), "city")
     rows.write.mode("overwrite").option("quoteAll", "true").csv(path)
     return read_locations(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerscope.functions.ip import ip_to_int, is_ipv4
@@ -63,8 +63,6 @@ def overlapping(ranges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     Only neighbours in start order are compared, one range of starts per task: a running maximum inside each,
     and the maxima of the tasks before it, one row per task.
     """
-    from pyspark.sql import Window
-
     by = [F.col(k) for k in keys]
     slice_of = F.shiftright("ip_start", 24)  # 256 slices of the address space
     rows = ranges.withColumn("__slice", slice_of)

@@ -21,10 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/peerscope/{uuid.uuid4().hex}/{name}"
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back, with the same schema."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/peerscope/{uuid.uuid4().hex}/{name}"
+    path = work_folder(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from peerscope.functions.ip import is_ipv4
 from peerscope.operators import layout
 from peerscope.operators.kdtree import KdTree
 from peerscope.sources.views import VIEWS, names_in, view
-from peerscope.staging import shared_folder
+from peerscope.staging import work_folder
 
 #: Sampled points of a leaf that a split is decided by, at most.
 SPLIT_POINTS = 50_000
@@ -185,8 +186,6 @@ def kafka_flows(spark: SparkSession, servers: str, topic: str = "sflows") -> Dat
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Flow records from space-separated lines in ``value``; other lines are dropped."""
-    from peerscope.functions.ip import is_ipv4
-
     kinds = [("ipfrom", "string"), ("intipfrom", "bigint"), ("ipto", "string"), ("intipto", "bigint"), ("protocol", "int"), ("srcport", "int"), ("dstport", "int"), ("ipsize", "bigint"), ("flow_date", "date")]
     parts = F.split(F.col("value"), " ")
     rows = lines.select(*(F.get(parts, F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(kinds)))
@@ -208,10 +207,6 @@ def drained(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/peerscope/{name}-{uuid.uuid4().hex}"
-
-
 def replayed(spark: SparkSession, sf_dir: str, tree: KdTree) -> DataFrame:
     """Flows and bytes per leaf after ingesting the flows as a stream into a new table."""
     path = work_folder(spark, "stream")
@@ -254,5 +249,3 @@ def wait_for(query: StreamingQuery, seconds: float) -> bool:
         time.sleep(0.1)
     return False
 
-
-__all__ = ["LeafTable", "Manifest", "Throughput", "event_windows", "exclaimed", "kafka_flows", "parsed", "replay_files", "replayed"]

@@ -61,10 +61,10 @@ def test_overlapping_ranges_are_refused(spark):
 
 
 def test_server_classes(spark):
-    flows = spark.createDataFrame([("a", "b"), ("a", "x"), ("x", "b"), ("x", "y"), (None, "b")], "ipfrom string, ipto string")
-    servers = spark.createDataFrame([("a",), ("b",), ("b",)], "ip string")
-    got = {(r.ipfrom, r.ipto): r.server_class for r in enrich.classified(flows, servers).collect()}
-    assert got == {("a", "b"): "DARK", ("a", "x"): "TX_SRV", ("x", "b"): "RX_SRV", ("x", "y"): "UNK_S2S", (None, "b"): "RX_SRV"}
+    flows = spark.createDataFrame([(1, 2), (1, 9), (9, 2), (9, 8), (None, 2)], "intipfrom bigint, intipto bigint")
+    servers = spark.createDataFrame([(1,), (2,), (2,), (None,)], "intip bigint")
+    got = {(r.intipfrom, r.intipto): r.server_class for r in enrich.classified(flows, servers).collect()}
+    assert got == {(1, 2): "DARK", (1, 9): "TX_SRV", (9, 2): "RX_SRV", (9, 8): "UNK_S2S", (None, 2): "RX_SRV"}
 
 
 def test_pair_text(spark):
