@@ -45,8 +45,13 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
         raise ValueError("two different chunks share a SHA-256 digest")
     recipe = F.transform(chunks(F.col("text")), IDENTIFIERS[identifier])
     recipes = staged(texts.select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
+    # written, so that the join reads both sides by plain shuffles and a large group can be split among tasks
+    shared = staged(groups.where("copies > 1"), "groups")
+    alone = F.col("copies").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("largest"))
+    out = recipes.join(shared, "recipe", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
