@@ -27,10 +27,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written to the shared folder and read back, with the same schema."""
+    """``frame`` written to the shared folder and read back, with the same schema. The files go when the application ends."""
     spark = frame.sparkSession
     path = work_folder(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(frame.schema).parquet(path)
 
 
