@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import BLOCK_BYTES, row_of, row_ranges, utf8_column
+from peerscope.llm.blocks import BLOCK_BYTES, lean, row_of, row_ranges, utf8_column
 
 #: Fixed values of the tokenizer's file format: the normalizer and the split that the byte rules reproduce.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Distinct fragments that each of the two generations of a worker's memory holds.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 CUT, OPEN_CUT = 1, 2
@@ -308,7 +308,7 @@ def encode_documents(documents: DataFrame, path: str, id_column: str = "doc_id",
                     held, lengths, at = [], [], row + 1
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def token_joiner(encoder: FragmentEncoder) -> Callable[[pa.ListArray], pa.Array]:

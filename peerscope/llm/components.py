@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peerscope.llm.blocks import lean
 from peerscope.staging import drop_staged, staged
 
 #: Links that a task joins at once; then it hands on their forest and starts afresh.
@@ -58,7 +59,7 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns ``a`` and ``b`` (long); loops and repeated links do no harm. No links: no rows.
     """
-    now = staged(links.select("a", "b").where("a <> b").mapInArrow(local_forests, "a long, b long"), "links")
+    now = staged(links.select("a", "b").where("a <> b").mapInArrow(lean(local_forests), "a long, b long"), "links")
     while not is_forest_of_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of a node link with the smallest of the node and its neighbours
@@ -67,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours link with the smallest of them
         first = large.groupBy("b").agg(F.min("a").alias("m"))
         star = large.join(first, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
-        before, now = now, staged(star.distinct().mapInArrow(local_forests, "a long, b long"), "links")
+        before, now = now, staged(star.distinct().mapInArrow(lean(local_forests), "a long, b long"), "links")
         drop_staged(before)
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct().union(roots)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import utf8_column
+from peerscope.llm.blocks import lean, utf8_column
 
 NULL_ID = -(1 << 63)
 #: Ranges of ids per shuffle partition when neighbours are brought together.
@@ -56,7 +56,7 @@ def digests(documents: DataFrame, digest: str, text_column: str = "text") -> Dat
                 forms = [canonical(text_of(data, a, b)) for a, b in zip(offsets[first : first + 512], offsets[first + 1 : first + 513], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashed(x) for x in forms]), pa.array([pack(x) for x in forms], pa.binary())], ["digest", "canonical"])
 
-    return documents.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "digest string, canonical binary")
+    return documents.select(F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), "digest string, canonical binary")
 
 
 def trusted_digest(documents: DataFrame, text_column: str = "text") -> str:
@@ -80,7 +80,7 @@ def fingerprint(documents: DataFrame, id_column: str = "doc_id", text_column: st
             prints = [hashed(canonical(text_of(data, a, b))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def neighbours(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -101,7 +101,7 @@ def neighbours(documents: DataFrame, id_column: str, text_column: str) -> DataFr
             own = np.asarray(batch.column("id"))
             yield pa.RecordBatch.from_arrays([pa.array(-np.searchsorted(bounds, own, side="right")), pa.array(own)], ["part", "id"])
 
-    heads = {r["part"]: r["first"] for r in ids.mapInArrow(dealt, "part long, id long").groupBy("part").agg(F.max("id").alias("first")).collect()}
+    heads = {r["part"]: r["first"] for r in ids.mapInArrow(lean(dealt), "part long, id long").groupBy("part").agg(F.max("id").alias("first")).collect()}
     order = sorted(heads)  # parts are numbered so that higher ids come first
     before = {heads[part]: order[k - 1] for k, part in enumerate(order)}
 
@@ -128,7 +128,7 @@ def neighbours(documents: DataFrame, id_column: str, text_column: str) -> DataFr
                 )
 
     rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_column).cast("string").alias("text"))
-    spread = rows.mapInArrow(run, "part long, ghost int, id long, tie long, text binary")
+    spread = rows.mapInArrow(lean(run), "part long, ghost int, id long, tie long, text binary")
     return spread.repartition("part").sortWithinPartitions("part", "ghost", F.col("id").desc(), "tie")
 
 
@@ -172,5 +172,5 @@ def edit_likeness(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     rows = neighbours(documents, id_column, text_column)
     kind = documents.schema[id_column].dataType
-    out = rows.mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = rows.mapInArrow(lean(run), "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import row_ranges, utf8_column
+from peerscope.llm.blocks import lean, row_ranges, utf8_column
 from peerscope.llm.components import components
 from peerscope.llm.polyhash import PrefixHash, mixed
 from peerscope.staging import staged
@@ -35,7 +35,7 @@ VALUE_BITS = 64 - 7  # what is left of a hash after the bucket's number
 MARGIN = 0.2
 #: Members of a bucket that one task compares with each other.
 BUCKET = 2000
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -163,7 +163,7 @@ def summaries(documents: DataFrame, words: int, id_column: str, text_column: str
                     ["id", "n_shingles", "digest", "registers", "keys"],
                 )
 
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, registers binary, keys array<long>")
+    return rows.mapInArrow(lean(run), "id long, n_shingles long, digest binary, registers binary, keys array<long>")
 
 
 def register_matrix(column: pa.Array) -> np.ndarray:
@@ -183,7 +183,7 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
                 guess = estimated(register_matrix(batch.column("r_a")), register_matrix(batch.column("r_b")), np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")))
                 yield batch.select(["a", "b"]).filter(pa.array(guess >= least))
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(lean(run), "a long, b long")
 
 
 def squeezed(documents: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -197,7 +197,7 @@ def squeezed(documents: DataFrame, wanted: DataFrame, id_column: str, text_colum
             texts = [pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "text"])
 
-    return rows.mapInArrow(run, "id long, text binary")
+    return rows.mapInArrow(lean(run), "id long, text binary")
 
 
 class SetCache:
@@ -235,7 +235,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     keep.append(len(x) > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").mapInArrow(lean(run), "a long, b long")
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -375,11 +375,11 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_colu
             bucket *= 2  # alike in all keys: compare them after all
     sketch = whole.select("id", "n_shingles", "registers")
     by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "id")
-    close = by_bucket(rest.drop("size").join(sketch, "id")).mapInArrow(lambda b: promising(b, percent), "key long, band int, id long, label long")
+    close = by_bucket(rest.drop("size").join(sketch, "id")).mapInArrow(lean(lambda b: promising(b, percent)), "key long, band int, id long, label long")
     close = staged(close, "promising")
     if not close.isEmpty():
         detailed = by_bucket(close.join(sketch, "id").join(texts, "id"))
-        more = staged(detailed.mapInArrow(lambda b: links_across(b, words, percent), "a long, b long"), "verified")
+        more = staged(detailed.mapInArrow(lean(lambda b: links_across(b, words, percent)), "a long, b long"), "verified")
         if not more.isEmpty():
             stars = labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
             labels = staged(labelled(whole, stars.union(more)), "labels")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import utf8_column
+from peerscope.llm.blocks import lean, utf8_column
 from peerscope.llm.bpe import id_bytes, worker_encoder
 from peerscope.staging import staged
 
@@ -105,7 +105,7 @@ def token_pieces(documents: DataFrame, path: str, window: int = WINDOW, end_id:
                     out, owner, kept = [], [], []
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, bin_pieces: int = BIN_PIECES) -> DataFrame:

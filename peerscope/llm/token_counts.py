@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import row_ranges, utf8_column
+from peerscope.llm.blocks import lean, row_ranges, utf8_column
 from peerscope.llm.bpe import CLASS, SPACE, FragmentEncoder, worker_encoder
 
 CHUNK_BYTES = 32 << 10
@@ -122,4 +122,4 @@ def count_tokens(documents: DataFrame, path: str, id_column: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), *(pa.array(out[:, k]) for k in range(3))], ["doc_id", "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_chunks bigint, n_widened bigint")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_chunks bigint, n_widened bigint")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerscope.llm.blocks import lean
+
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of one broadcast trie. A longer list is split into several tries, applied one after the other.
@@ -107,4 +109,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(lean(run), f"page_id {kind}, host string, path string, rule string, verdict string")
