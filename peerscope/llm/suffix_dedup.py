@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import utf8_column
+from peerscope.llm.blocks import lean, utf8_column
 from peerscope.llm.polyhash import PrefixHash, mixed
 from peerscope.llm.suffix_sort import sorted_in_groups
 from peerscope.staging import staged
 
 SPAN, GRAM = 100, 32
 #: Bytes of text hashed at once, and the bytes around a part of a long document that its anchors depend on.
-PART_BYTES, HALO = 2 << 20, 256
+PART_BYTES, HALO = 1 << 19, 256
 #: Contexts of one gram beyond which its spans are grouped by hash instead of being sorted in one task.
 MOST_CONTEXTS = 20_000
 #: Contexts that are sorted together.
@@ -316,23 +316,24 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, id_
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (x for b in batches if (x := anchor_rows(b, span, gram)) is not None)
 
-    keys = texts.mapInArrow(first, "gram long, context long, id long, place long")
+    keys = texts.mapInArrow(lean(first), "gram long, context long, id long, place long")
     ordered = keys.repartition("gram").sortWithinPartitions("gram", "context", "id", "place")
-    found = staged(ordered.mapInArrow(lambda b: matched(b, span, gram), "id long, start long, length long, gram long"), "matches")
+    found = staged(ordered.mapInArrow(lean(lambda b: matched(b, span, gram)), "id long, start long, length long, gram long"), "matches")
     covered = found.where("gram is null").select("id", "start", "length")
     candidates = found.where("gram is not null")
     marks = candidates.groupBy("id").agg(F.collect_list(F.struct("start", "gram")).alias("marks"))
-    bytes_of = texts.join(marks, "id").mapInArrow(lambda b: context_rows(b, span, gram), "gram long, id long, place long, before int, context binary")
+    bytes_of = texts.join(marks, "id").mapInArrow(lean(lambda b: context_rows(b, span, gram)), "gram long, id long, place long, before int, context binary")
     hot = candidates.groupBy("gram").count().where(F.col("count") > most_contexts).select("gram")
     if not hot.isEmpty():
         bytes_of = staged(bytes_of, "contexts")
-        spans = bytes_of.join(hot, "gram", "left_semi").mapInArrow(lambda b: span_rows(b, span, gram), "a long, b long, id long, start long")
+        spans = bytes_of.join(hot, "gram", "left_semi").mapInArrow(lean(lambda b: span_rows(b, span, gram)), "a long, b long, id long, start long")
         earliest = spans.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        earliest = staged(earliest, "earliest")  # so that the join can split a span that very many documents share
         again = spans.join(earliest, ["a", "b"]).where("id > first.id or id = first.id and start > first.start")
         covered = covered.union(again.select("id", "start", F.lit(span).cast("long").alias("length")))
         bytes_of = bytes_of.join(hot, "gram", "left_anti")
     by_gram = bytes_of.repartition("gram").sortWithinPartitions("gram", "id", "place")
-    return covered.union(by_gram.mapInArrow(lambda b: sorted_contexts(b, span, gram), "id long, start long, length long"))
+    return covered.union(by_gram.mapInArrow(lean(lambda b: sorted_contexts(b, span, gram)), "id long, start long, length long"))
 
 
 def cut_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -405,6 +406,6 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, id_column: str = "doc
                 )
 
     if keep_columns:
-        return joined.mapInArrow(run, documents.schema)
+        return joined.mapInArrow(lean(run), documents.schema)
     kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
