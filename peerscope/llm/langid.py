@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.blocks import row_ranges, utf8_column
+from peerscope.llm.blocks import lean, row_ranges, utf8_column
 
 BINS = 4096
 UNDETERMINED = "und"
@@ -25,7 +25,7 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 500, 64
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 #: Scores below this mark a text as ambiguous.
 AMBIGUOUS = 0.1
-PART_BYTES = 1 << 20
+PART_BYTES, ROWS = 1 << 19, 128
 SIZES = (1, 2, 3)
 #: Odd multipliers that mix the bytes of an n-gram.
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -37,6 +37,13 @@ FOLD[LETTER] = np.flatnonzero(LETTER) | 0x20
 FOLD[0x80:] = np.arange(0x80, 256)
 
 
+def parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of about PART_BYTES and at most ROWS rows, each of which has BINS counts."""
+    for first, last in row_ranges(offsets, PART_BYTES):
+        for at in range(first, last, ROWS):
+            yield at, min(last, at + ROWS)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept out of training: CRC-32 of its id as text is divisible by 5."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -127,20 +134,23 @@ def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_colu
     """A model from labelled documents that are not held out; None without any."""
     labelled = documents.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & ~held_out(F.col(id_column)))
     rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column)).alias("draw"))
+    # the share of a language's rows that holds its sample with room to spare, so that few rows are ranked
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    near = rows.join(F.broadcast(counts), "lang").where(F.pmod("draw", F.lit(1 << 20)) * F.col("count") < (1 << 20) * 4 * per_language)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang").dropDuplicates(["id"])
+    drawn = near.withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang").dropDuplicates(["id"])
     drawn = drawn.orderBy("lang", "id").limit(per_language * MOST_LANGUAGES)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(drawn), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            for first, last in row_ranges(offsets, PART_BYTES):
+            for first, last in parts(offsets):
                 found = [x.astype(np.float16).tobytes() for x in profiles(data, offsets[first : last + 1])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), batch.column("lang").slice(first, last - first), pa.array(found, pa.binary())], ["id", "lang", "profile"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    sample = texts.select("id", "lang", "text").mapInArrow(run, f"id {kind}, lang string, profile binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
+    sample = texts.select("id", "lang", "text").mapInArrow(lean(run), f"id {kind}, lang string, profile binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
     if not sample.num_rows:
         return None
     names = sample["lang"].to_pylist()
@@ -167,12 +177,11 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
             names, scores = [], []
-            for first, last in row_ranges(offsets, PART_BYTES):
+            for first, last in parts(offsets):
                 if own is None:
                     best, score = np.zeros(last - first, int), np.zeros(last - first)
                 else:
-                    found = [own.predict(profiles(data, offsets[k : min(last, k + 512) + 1])) for k in range(first, last, 512)]
-                    best, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                    best, score = own.predict(profiles(data, offsets[first : last + 1]))
                 for k in range(first, last):
                     piece = data[offsets[k] : offsets[k + 1]]
                     known = own is not None and (bool(LETTER[piece].any()) or has_letter(piece.tobytes()))
@@ -181,7 +190,7 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    found = rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
     return found.withColumn("ambiguous", (F.col("score") < AMBIGUOUS) & (F.col("lang_pred") != UNDETERMINED))
 
 
@@ -197,13 +206,11 @@ def keep_identified(documents: DataFrame, least_score: float = 0.0, id_column: s
         for batch in batches:
             data, offsets = utf8_column(batch.column(text_column))
             keep = np.zeros(batch.num_rows, bool)
-            for first, last in row_ranges(offsets, PART_BYTES):
-                for at in range(first, last, 512):
-                    stop = min(last, at + 512)
-                    _, score = own.predict(profiles(data, offsets[at : stop + 1]))
-                    for k in range(at, stop):
-                        piece = data[offsets[k] : offsets[k + 1]]
-                        keep[k] = (bool(LETTER[piece].any()) or has_letter(piece.tobytes())) and score[k - at] >= least_score
+            for first, last in parts(offsets):
+                _, score = own.predict(profiles(data, offsets[first : last + 1]))
+                for k in range(first, last):
+                    piece = data[offsets[k] : offsets[k + 1]]
+                    keep[k] = (bool(LETTER[piece].any()) or has_letter(piece.tobytes())) and score[k - first] >= least_score
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
