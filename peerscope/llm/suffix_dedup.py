@@ -328,7 +328,6 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, id_
         bytes_of = staged(bytes_of, "contexts")
         spans = bytes_of.join(hot, "gram", "left_semi").mapInArrow(lean(lambda b: span_rows(b, span, gram)), "a long, b long, id long, start long")
         earliest = spans.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        earliest = staged(earliest, "earliest")  # so that the join can split a span that very many documents share
         again = spans.join(earliest, ["a", "b"]).where("id > first.id or id = first.id and start > first.start")
         covered = covered.union(again.select("id", "start", F.lit(span).cast("long").alias("length")))
         bytes_of = bytes_of.join(hot, "gram", "left_anti")
