@@ -1,6 +1,6 @@
 """A pipeline over ``documents``: each stage works on what its predecessor kept.
 
-Language ID drops texts without a language, the two deduplication stages keep one document of each group, the
+Language ID drops texts without letters and those whose language is ambiguous, the two deduplication stages keep one document of each group, the
 suffix stage cuts repeated passages out of the texts, and packing places the tokens of what is left.
 """
 
@@ -15,7 +15,7 @@ from peerscope.staging import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs)
+    return langid.keep_identified(docs, langid.AMBIGUOUS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

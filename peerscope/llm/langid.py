@@ -25,6 +25,8 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 500, 64
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 #: Scores below this mark a text as ambiguous.
 AMBIGUOUS = 0.1
+#: A model's margin is the score that all but this share of its sample's rightly decoded documents reach.
+LOST = 0.001
 PART_BYTES, ROWS = 1 << 19, 128
 SIZES = (1, 2, 3)
 #: Odd multipliers that mix the bytes of an n-gram.
@@ -98,6 +100,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    margin: float = 1.0
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest codeword of each row of bit scores, and a score from 0 (a tie) to 1."""
@@ -127,7 +130,17 @@ def fit(profile: np.ndarray, own: np.ndarray, languages: list[str]) -> Model:
         weights, bias = weights + speed, bias + speed_bias
     right = target * (profile @ weights + bias) > 0
     trust = np.stack([right[own == k].mean(axis=0) for k in range(len(languages))])
-    return Model(languages, code, weights, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+    model = Model(languages, code, weights, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+    model.margin = margin_of(model, profile, own)
+    return model
+
+
+def margin_of(model: Model, profile: np.ndarray, own: np.ndarray) -> float:
+    """The score that all but LOST of the rightly decoded documents reach."""
+    found = [model.predict(profile[at : at + ROWS]) for at in range(0, len(profile), ROWS)]
+    best, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    right = score[best == own]
+    return float(np.quantile(right, LOST, method="lower")) if len(right) else 0.0
 
 
 def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model | None:
@@ -195,22 +208,25 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
 
 
 def keep_identified(documents: DataFrame, least_score: float = 0.0, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """``documents`` without those whose language can't be told: no letters, or a score below ``least_score``."""
+    """``documents`` without those whose language can't be told.
+
+    These are texts without letters, with or without a model, and those whose score is below ``least_score``, or
+    below the model's margin where that is less.
+    """
     model = train(documents, id_column=id_column, text_column=text_column, lang_column=lang_column)
-    if model is None:
-        return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        least = min(least_score, own.margin) if own else 0.0
         for batch in batches:
             data, offsets = utf8_column(batch.column(text_column))
             keep = np.zeros(batch.num_rows, bool)
             for first, last in parts(offsets):
-                _, score = own.predict(profiles(data, offsets[first : last + 1]))
+                score = own.predict(profiles(data, offsets[first : last + 1]))[1] if own else np.ones(last - first)
                 for k in range(first, last):
                     piece = data[offsets[k] : offsets[k + 1]]
-                    keep[k] = (bool(LETTER[piece].any()) or has_letter(piece.tobytes())) and score[k - first] >= least_score
+                    keep[k] = (bool(LETTER[piece].any()) or has_letter(piece.tobytes())) and score[k - first] >= least
             yield batch.filter(pa.array(keep))
 
     return documents.mapInArrow(lean(run), documents.schema)

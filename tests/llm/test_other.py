@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import DATA, as_rows
@@ -166,6 +167,23 @@ def test_languages_of_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(base, None).collect()} == {"und"}
 
 
+def test_ambiguous_and_letterless_texts_are_dropped(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(900001, "mary.smith@example.com bob@x.org", None), (900002, "xkcd 9 qq ## zz", None), (900003, "12 34 !!", None), (900004, "lorem ipsum dolor sit amet", None), (900005, "http://www.example.com/a/b?c=d", None)]
+    frame = base.union(spark.createDataFrame(odd, base.schema))
+    model = langid.train(frame)
+    verdict = {r.doc_id: r for r in langid.identify(frame, model).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, frame, DATA).collect()}
+    least = min(langid.AMBIGUOUS, model.margin)
+    assert least > 0
+    gone = {k for k, r in verdict.items() if r.lang_pred == "und" or r.score < least}
+    assert kept == set(verdict) - gone and 900003 in gone and len(gone & {r[0] for r in odd}) > 1
+    assert all(verdict[k].ambiguous or verdict[k].lang_pred == "und" for k in gone)
+    assert sum(r.doc_id not in kept for r in base.collect()) <= langid.LOST * base.count()
+    unlabelled = frame.where("doc_id > 900000")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, DATA).collect()} == {900001, 900002, 900004, 900005}
+
+
 def test_ambiguity_is_flagged():
     model = langid.Model(["a", "b"], np.array([[1.0], [-1.0]]), np.zeros((langid.BINS, 1)), np.zeros(1), np.ones((2, 1)))
     best, score = model.decode(np.array([[0.0], [4.0], [-4.0]]))
