@@ -36,6 +36,8 @@ MARGIN = 0.2
 #: Members of a bucket that one task compares with each other.
 BUCKET = 2000
 PART_BYTES = 1 << 19
+#: The column of row numbers where ids don't tell rows apart.
+KEY = "__row"
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -347,8 +349,35 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_colu
     Words are what lies between ASCII white space, with A-Z lower-cased; a text with fewer than ``words`` words has
     one shingle, a null or empty one or one without words has none and is linked with nothing. Documents are
     linked if 100 * common >= percent * union; ``component_id`` is the smallest id reachable. Rows that repeat
-    an id are one document. A null id is linked with nothing and is its own component.
+    an id are one document, linked by each of its texts. A null id is linked with nothing and is its own component.
     """
+    if not repeats(documents.where(F.col(id_column).isNotNull()), id_column):
+        return linked_rows(documents, words, percent, id_column, text_column, bucket)
+    known = F.col(id_column).isNotNull()
+    rows = keyed(documents.select(id_column, text_column), id_column, text_column).withColumn(KEY, F.when(known, F.col(KEY)))
+    found = staged(linked_rows(rows, words, percent, KEY, text_column, bucket).select(F.col("doc_id").alias(KEY), "n_shingles", F.col("component_id").alias("own")), "rows")
+    ids = rows.where(known).select(KEY, F.col(id_column).alias("doc_id"))
+    firsts = ids.groupBy("doc_id").agg(F.min(KEY).alias("a"))
+    same = ids.join(firsts, "doc_id").select("a", F.col(KEY).alias("b")).where("a <> b")
+    joined = components(same.union(found.where(F.col("own") != F.col(KEY)).select(F.col("own").alias("a"), F.col(KEY).alias("b"))))
+    names = ids.select(F.col(KEY).alias("component"), F.col("doc_id").alias("component_id"))
+    whole = found.join(ids, KEY, "left").join(joined, F.col(KEY) == F.col("node"), "left").withColumn("component", F.coalesce("component", KEY))
+    return whole.join(names, "component", "left").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def repeats(documents: DataFrame, id_column: str) -> bool:
+    """Whether an id occurs in several rows or is null."""
+    return not documents.groupBy(id_column).count().where(F.col(id_column).isNull() | (F.col("count") > 1)).isEmpty()
+
+
+def keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``documents`` with a number of each row in KEY, in the order of ids, null ones last, and of the texts' digests."""
+    order = [F.col(id_column).asc_nulls_last(), F.sha2(F.col(text_column).cast("string"), 256)]
+    return staged(documents.orderBy(*order).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def linked_rows(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str, bucket: int = BUCKET) -> DataFrame:
+    """``near_groups`` of rows whose ids are different or null."""
     kind = documents.schema[id_column].dataType
     sketched = staged(summaries(documents, words, id_column, text_column), "sketches")
     filled = sketched.where("n_shingles > 0 and id is not null")
@@ -391,8 +420,13 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_colu
 
 
 def drop_near_copies(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``documents`` with one document of each component, the one with the smallest id, and one row of each id."""
-    kept = near_groups(documents, words, percent, id_column, text_column).where("kept").select(F.col("doc_id").alias("__id"))
-    out = documents.join(kept, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
-    repeated = not documents.groupBy(id_column).count().where("count > 1").isEmpty()
-    return out.dropDuplicates([id_column]) if repeated else out
+    """``documents`` with one row of each component, the one with the smallest id, nulls last.
+
+    Where ids are null or repeat, every row is linked by its own text, and rows of the same id and text are one.
+    """
+    rows, key = documents, id_column
+    if own := repeats(documents, id_column):
+        rows, key = keyed(documents.dropDuplicates([id_column, text_column]), id_column, text_column), KEY
+    kept = linked_rows(rows, words, percent, key, text_column).where("kept").select(F.col("doc_id").alias("__id"))
+    out = rows.join(kept, F.col(key) == F.col("__id"), "left_semi")
+    return out.drop(KEY) if own else out

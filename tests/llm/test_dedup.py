@@ -204,6 +204,21 @@ def test_estimates_are_close(spark):
     assert near_dedup.estimated(apart[:1], apart[1:], np.array([1000]), np.array([1000]))[0] < 0.1
 
 
+def test_rows_of_null_and_repeated_ids_are_told_apart(spark):
+    text = lambda k: " ".join(f"{k}w{n}" for n in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (1, text("c")), (1, text("d")), (1, text("d")), (2, text("d") + " more"), (3, text("c") + " more"), (None, text("c") + " end"), (4, None), (None, "")]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(frame).collect()]
+    copies = [t for k, t in kept if t and t.startswith("bw")]
+    assert len(copies) == 1 and copies[0] in (text("b"), text("b") + " more")
+    rest = [(k, t) for k, t in kept if not (t and t.startswith("bw"))]
+    assert sorted(rest, key=repr) == sorted([(None, text("a")), (1, text("c")), (1, text("d")), (4, None), (None, "")], key=repr)
+    got = near_dedup.near_groups(frame).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+
+
 def test_near_query(spark):
     from conftest import DATA
 
