@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLOW_UP = 4
 #: Rows of a dimension up to which it is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Addresses of a piece of a range that is exploded.
+PIECE = 1 << 16
 DARK, RX_SRV, TX_SRV, UNK_S2S = "DARK", "RX_SRV", "TX_SRV", "UNK_S2S"
 
 
@@ -27,6 +29,21 @@ def bucket_bits(ranges: DataFrame, blow_up: int = BLOW_UP) -> tuple[int, int]:
     return bits, int(sums[f"k{bits}"])
 
 
+def exploded(ranges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """One row ``ip`` with the other columns for every address of every range.
+
+    Ranges are first split into pieces at multiples of ``piece`` addresses, which are dealt out anew: no row holds more
+    than ``2**32 / piece`` or ``piece`` numbers, and a wide range is not the work of one task. A range that ends before
+    it starts, or has a null bound, has no address.
+    """
+    rest = [c for c in ranges.columns if c not in ("ip_start", "ip_end")]
+    number = lambda c: F.floor(F.col(c) / piece) if piece & (piece - 1) else F.shiftright(c, piece.bit_length() - 1)
+    pieces = ranges.where("ip_start <= ip_end").select("*", F.explode(F.sequence(number("ip_start"), number("ip_end"))).alias("__piece"))
+    low, high = F.greatest("ip_start", F.col("__piece") * piece), F.least("ip_end", F.col("__piece") * piece + (piece - 1))
+    dealt = pieces.select(low.alias("__low"), high.alias("__high"), *rest).repartition(4 * ranges.sparkSession.sparkContext.defaultParallelism, "__low")
+    return dealt.select(F.explode(F.sequence("__low", "__high")).alias("ip"), *rest)
+
+
 def sized(dimension: DataFrame, rows: int) -> DataFrame:
     """``dimension`` marked for broadcast if its counted rows are few enough."""
     return F.broadcast(dimension) if rows <= BROADCAST_ROWS else dimension

@@ -31,6 +31,9 @@ INDEX = "len(list_filter(g.points, lambda p: p < {}))"
 CELL = f"CAST({INDEX.format('least(f.intipfrom, f.intipto)')} * {GRID_SIDE} + {INDEX.format('greatest(f.intipfrom, f.intipto)')} AS BIGINT)"
 PAD = " || '.' || ".join(f"lpad(split_part({{0}}, '.', {k}), 3, '0')" for k in range(1, 5))
 QUAD = " || '.' || ".join(f"CAST(({{0}} >> {k}) & 255 AS VARCHAR)" for k in (24, 16, 8, 0))
+ADDRESSES = """
+CAST(sum(ip_end - ip_start + 1) AS BIGINT) AS n, min(ip_start) AS low, max(ip_end) AS high,
+CAST(sum(CAST(ip_start + ip_end AS HUGEINT) * (ip_end - ip_start + 1) // 2) AS BIGINT) AS total"""
 
 RAW = {
     "as_ingoing": f"SELECT b.as_name, {N} FROM {{flows}} f {TO_AS} GROUP BY 1",
@@ -100,6 +103,8 @@ WHERE f.intipfrom BETWEEN {BOX.low['intipfrom']} AND {BOX.high['intipfrom']} AND
 SELECT DISTINCT ipto, intipto AS number, {PAD.format('ipto')} AS padded, {QUAD.format('intipto')} AS back, true AS valid FROM {{flows}}""",
     "as_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, as_name FROM {as_ranges}",
     "country_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, country_code, country_name FROM {country_ranges}",
+    "as_range_addresses": f"SELECT as_name, {ADDRESSES} FROM {{as_ranges}} GROUP BY 1",
+    "country_range_addresses": f"SELECT country_code, country_name, {ADDRESSES} FROM {{country_ranges}} GROUP BY 1, 2",
     "city_names": "SELECT loc_id, 'R' || CAST(n_regionkey AS VARCHAR) AS country_code, city FROM {locations}",
     "knn_embeddings": f"""
 WITH wide AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),

@@ -271,6 +271,20 @@ def country_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select(F.explode(F.sequence("ip_start", F.least("ip_end", F.col("ip_start") + 15))).alias("ip"), "country_code", "country_name")
 
 
+def as_range_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, bounds and sum of all addresses of each autonomous system, from one row per address of its ranges."""
+    return address_totals(enrich.exploded(view(spark, sf_dir, "as_ranges")), "as_name")
+
+
+def country_range_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per country."""
+    return address_totals(enrich.exploded(view(spark, sf_dir, "country_ranges")), "country_code", "country_name")
+
+
+def address_totals(addresses: DataFrame, *names: str) -> DataFrame:
+    return addresses.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("ip").alias("low"), F.max("ip").alias("high"), F.sum("ip").alias("total"))
+
+
 def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations after writing them quoted and reading them with the cleaning reader."""
     from peerscope.sources.loaders import read_locations
@@ -315,7 +329,8 @@ QUERIES = {
         as_ingoing, as_outgoing, as_pairs, as_ingoing_inner, as_pairs_inner, country_outgoing, country_pairs, city_outgoing, city_outgoing_left,
         dns_ingoing_left, dns_ingoing_grid, dns_ingoing_tree, dns_ingoing_week, dns_pairs_inner, dns_pairs_left, dns_pairs_concat, dns_pairs_tree, server_class,
         as_ingoing_monthly, as_pairs_monthly_concat, dns_ingoing_monthly, dns_pairs_monthly, topk_as_pairs_week, topk_dns_bytes, daily_server_traffic,
-        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, kd_pruned_scan, partitioned_table, ip_functions, as_range_explode, country_range_explode, city_names,
+        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, kd_pruned_scan, partitioned_table, ip_functions, as_range_explode, country_range_explode,
+        as_range_addresses, country_range_addresses, city_names,
         knn_embeddings, hash_sample, stream_leaf_counts, stream_event_windows, stream_marked,
     )
 }

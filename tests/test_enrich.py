@@ -100,3 +100,11 @@ def test_partition_overwrite_is_dynamic(spark, tmp_path):
     sinks.write_partitioned(spark.createDataFrame([(1, 1), (2, 2)], "x int, part int"), path)
     sinks.write_partitioned(spark.createDataFrame([(9, 2)], "x int, part int"), path)
     assert rows(spark.read.parquet(path).select("x", "part")) == [(1, 1), (9, 2)]
+
+
+def test_whole_ranges_are_exploded(spark):
+    rows = [(3, 3, "one"), (10, 57, "wide"), (64, 127, "whole pieces"), (130, 129, "none"), (4294967290, 4294967295, "last"), (None, 5, "null")]
+    frame = spark.createDataFrame(rows, "ip_start long, ip_end long, name string")
+    want = sorted((ip, name) for a, b, name in rows if a is not None for ip in range(a, b + 1))
+    for piece in (16, 1 << 16):
+        assert sorted((r.ip, r.name) for r in enrich.exploded(frame.where("ip_end < 1000 or ip_start > 1000"), piece).select("ip", "name").collect()) == want
