@@ -13,9 +13,13 @@ enough to compare the suffixes and the reversed prefixes at anchors:
    the anchor (``suffix_sort``). Two occurrences share a span that starts l bytes before the anchor exactly if
    they have l bytes before and span - l bytes after in common: runs of neighbours with long enough
    extensions in both orders. All but the first occurrence of such a class are covered.
-4. Grams with more contexts than one task should sort are split: each of their spans is hashed, and a grouped
-   minimum (partial sums first) finds the first occurrence.
-5. The covered spans meet their documents and are cut out.
+4. A gram with more contexts than one task should sort is refined: spans that start at most half as far before the
+   anchor as any may, and the others, become groups of their own. A group's key is the hash of the bytes that all its
+   spans have in common, and its contexts are that much narrower; of equal ones all but the first are covered, by a
+   grouped minimum over their bytes. What is left is sorted, or refined again, down to single starts.
+5. The covered spans are united, meet their documents and are cut out.
+
+Ids must tell rows apart; where they don't, rows are numbered first, so that each stays a document of its own.
 """
 
 from __future__ import annotations
@@ -29,18 +33,19 @@ from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, utf8_column
 from peerscope.llm.polyhash import PrefixHash, mixed
+from peerscope.llm.rows import free_name, numbered, told_apart
 from peerscope.llm.suffix_sort import sorted_in_groups
 from peerscope.staging import staged
 
 SPAN, GRAM = 100, 32
 #: Bytes of text hashed at once, and the bytes around a part of a long document that its anchors depend on.
 PART_BYTES, HALO = 1 << 19, 256
-#: Contexts of one gram beyond which its spans are grouped by hash instead of being sorted in one task.
-MOST_CONTEXTS = 20_000
+#: Contexts of one gram beyond which it is refined instead of being sorted in one task.
+MOST_CONTEXTS = 5_000
 #: Contexts that are sorted together.
 SORTED_TOGETHER = 40_000
-NULL_ID = -(1 << 63)
 PLACE_BITS = 40
+CONTEXTS = "gram long, low int, high int, id long, place long, before int, context binary"
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -127,9 +132,7 @@ def anchor_rows(batch: pa.RecordBatch, span: int, gram: int) -> pa.RecordBatch |
         member = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
         member = member[np.lexsort((place[member], ids[row[member]], context[member], key[member]))]
         new = np.concatenate(([True], (key[member[1:]] != key[member[:-1]]) | (context[member[1:]] != context[member[:-1]])))
-        first = member[np.maximum.accumulate(np.where(new, np.arange(len(member)), 0))]
-        # a row that repeats the id of the first is the same place, not a later one
-        again[member] = (ids[row[member]] != ids[row[first]]) | (place[member] != place[first])
+        again[member] = ~new
     sizes = np.diff(offsets)
     covered = united(row[again], np.maximum(0, place[again] - (span - gram)), np.minimum(sizes[row[again]], place[again] + span))
     limit = (1 << (63 - PLACE_BITS)) - 1  # a longer span leaves in parts
@@ -154,7 +157,7 @@ def matched(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator
 
     ``held`` is the first row of the running gram as long as it has one context only.
     """
-    running, origin = (None, None), (0, 0)
+    running = (None, None)
     held: tuple[int, int] | None = None
     reach = span - gram
     for batch in batches:
@@ -165,12 +168,8 @@ def matched(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator
         if len(key):
             new_key = np.concatenate(([key[0] != running[0]], key[1:] != key[:-1]))
             new = new_key | np.concatenate(([context[0] != running[1]], context[1:] != context[:-1]))
-            # the first place with the context; a row that repeats its id is the same place, not a later one
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            later = np.where(at < 0, (ids != origin[0]) | (place != origin[1]), (ids != ids[at]) | (place != place[at]))
-            start = np.maximum(0, place[later] - reach)
-            out.append((ids[later], start, place[later] + span - start, None))
-            origin = origin if at[-1] < 0 else (int(ids[at[-1]]), int(place[at[-1]]))
+            start = np.maximum(0, place[~new] - reach)
+            out.append((ids[~new], start, place[~new] + span - start, None))
             group = np.cumsum(new_key)  # 0: goes on from the batch before
             firsts = np.bincount(group[new], minlength=group[-1] + 1)
             if not new_key[0]:
@@ -205,8 +204,6 @@ def context_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Ite
             row = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
             at, key = place[bounds[first] : bounds[last]], keys[bounds[first] : bounds[last]]
             size = (offsets[1:] - offsets[:-1])[row]
-            fits = at + gram <= size  # else another row with the same id had it
-            row, at, key, size = row[fits], at[fits], key[fits], size[fits]
             before, after = np.minimum(at, reach), np.minimum(size - at, span)
             begin = offsets[row] + at - before
             width = before + after
@@ -214,8 +211,14 @@ def context_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Ite
                 continue
             ends = np.concatenate(([0], np.cumsum(width)))
             flat = data[np.repeat(begin - ends[:-1], width) + np.arange(ends[-1])]
-            context = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(at), pa.array(before.astype(np.int32)), context], ["gram", "id", "place", "before", "context"])
+            yield context_batch(key, np.zeros(len(row)), np.full(len(row), reach), ids[row], at, before, flat, ends)
+
+
+def context_batch(key: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, place: np.ndarray, before: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Contexts as rows of CONTEXTS; ``low`` and ``high`` bound how far before the anchor a span of the group starts."""
+    context = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+    small = [pa.array(x.astype(np.int32)) for x in (low, high, before)]
+    return pa.RecordBatch.from_arrays([pa.array(key), *small[:2], pa.array(ids), pa.array(place), small[2], context], ["gram", "low", "high", "id", "place", "before", "context"])
 
 
 def context_matrices(context: pa.Array, before: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,22 +236,22 @@ def context_matrices(context: pa.Array, before: np.ndarray, span: int, gram: int
     return behind, ahead, after
 
 
-def repeated_contexts(key: np.ndarray, before: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows whose spans occur in an earlier row with the same gram, and their covered bytes relative to the anchor.
+def repeated_contexts(key: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose spans occur in an earlier row with the same key, and their covered bytes relative to the anchor.
 
-    Rows come sorted by gram, id and place.
+    Rows come sorted by key, id and place; only spans that start ``low`` to ``high`` bytes before the anchor count.
     """
     behind, ahead, after = context_matrices(context, before, span, gram)
     count = len(key)
     orders = [sorted_in_groups(behind, after, key), sorted_in_groups(ahead, before, key)]
     earliest, latest = np.full(count, span, np.int64), np.full(count, -1, np.int64)  # bytes before the anchor
-    for ahead_bytes in range(span - gram + 1):
+    for ahead_bytes in range(int(low.min()), int(high.max()) + 1):
         classes = []
         for (order, shared), least in zip(orders, (span - ahead_bytes, ahead_bytes), strict=True):
             own = np.empty(count, np.int64)
             own[order] = np.cumsum(shared < least)
             classes.append(own)
-        fits = np.flatnonzero((before >= ahead_bytes) & (after >= span - ahead_bytes))
+        fits = np.flatnonzero((before >= ahead_bytes) & (after >= span - ahead_bytes) & (low <= ahead_bytes) & (high >= ahead_bytes))
         if not len(fits):
             continue
         pair = classes[0][fits] * (count + 1) + classes[1][fits]
@@ -261,17 +264,13 @@ def repeated_contexts(key: np.ndarray, before: np.ndarray, context: pa.Array, sp
 
 
 def sorted_contexts(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Covered spans found by sorting the contexts of whole grams, SORTED_TOGETHER rows or one gram at a time."""
+    """Covered spans found by sorting the contexts of whole groups, SORTED_TOGETHER rows or one group at a time."""
     waiting: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        key, ids, place, before = (np.asarray(table[k].combine_chunks()).astype(np.int64) for k in ("gram", "id", "place", "before"))
-        context = table["context"].combine_chunks()
-        twice = np.concatenate(([False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])))
-        if twice.any():  # from rows that repeat an id
-            key, ids, place, before, context = key[~twice], ids[~twice], place[~twice], before[~twice], context.filter(pa.array(~twice))
-        rows, begin, end = repeated_contexts(key, before, context, span, gram)
+        key, low, high, ids, place, before = (np.asarray(table[k].combine_chunks()).astype(np.int64) for k in ("gram", "low", "high", "id", "place", "before"))
+        rows, begin, end = repeated_contexts(key, low, high, before, table["context"].combine_chunks(), span, gram)
         if len(rows):
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(place[rows] + begin), pa.array(end - begin)], ["id", "start", "length"])
 
@@ -280,7 +279,7 @@ def sorted_contexts(batches: Iterator[pa.RecordBatch], span: int, gram: int) ->
         if sum(x.num_rows for x in waiting) >= SORTED_TOGETHER:
             table = pa.Table.from_batches(waiting)
             keys = np.asarray(table["gram"].combine_chunks())
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last gram may go on
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
             if whole:
                 yield from done(table.slice(0, whole))
                 waiting = table.slice(whole).to_batches()
@@ -288,51 +287,92 @@ def sorted_contexts(batches: Iterator[pa.RecordBatch], span: int, gram: int) ->
         yield from done(pa.Table.from_batches(waiting))
 
 
-def span_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every span that holds the anchor, for grams with too many contexts to sort in one task."""
+def halved(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Each context once for either half of its group's starts, cut down to the bytes of those spans.
+
+    The new key is the hash of the bytes that all spans of the half hold, so those who share a span share the key.
+    """
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
             part = batch.slice(first, 4096)
             data, offsets = utf8_column(part.column("context"))
-            block, bounds = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            before = np.asarray(part.column("before")).astype(np.int64)
-            many = np.maximum(0, np.diff(bounds) - span + 1)
-            row = np.repeat(np.arange(len(many)), many)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            begin = bounds[row] + step
-            a, b = (mixed(PrefixHash(block, k).spans(begin, begin + span)).view(np.int64) for k in (0, 1))
-            ids, place = np.asarray(part.column("id"))[row], np.asarray(part.column("place"))[row] - before[row] + step
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, ids, place)], ["a", "b", "id", "start"])
+            low, high, ids, place, before = (np.asarray(part.column(k)).astype(np.int64) for k in ("low", "high", "id", "place", "before"))
+            after, middle = np.diff(offsets) - before, (low + high) // 2
+            hashes, base = PrefixHash(data[offsets[0] : offsets[-1]]), int(offsets[0])
+            for least, most in ((low, middle), (middle + 1, high)):
+                row = np.flatnonzero((least <= most) & (before >= least) & (after >= span - most))
+                if not len(row):
+                    continue
+                own_low, own_high, anchor = least[row], most[row], offsets[row] + before[row]
+                core = hashes.spans(anchor - own_low - base, anchor + span - own_high - base)
+                key = mixed(core + (own_low * (span + 1) + own_high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                left = np.minimum(before[row], own_high)
+                width = left + np.minimum(after[row], span - own_low)
+                ends = np.concatenate(([0], np.cumsum(width)))
+                flat = data[np.repeat(anchor - left - ends[:-1], width) + np.arange(ends[-1])]
+                yield context_batch(key, own_low, own_high, ids[row], place[row], left, flat, ends)
+
+
+def span_lists(spans: DataFrame) -> DataFrame:
+    """One row per id with its spans (start, end) united, in order. A task holds the spans of one document at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for batch in batches:
+            ids, start, length = (np.asarray(batch.column(k)) for k in ("id", "start", "length"))
+            if not len(ids):
+                continue
+            ids, start, end = united(*(np.concatenate(x) for x in zip(held, (ids, start, start + length), strict=True)))
+            last = int(np.searchsorted(ids, ids[-1]))  # the last document may go on
+            yield from listed(ids[:last], start[:last], end[:last])
+            held = (ids[last:], start[last:], end[last:])
+        yield from listed(*held)
+
+    def listed(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids):
+            at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            pairs = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pairs)], ["id", "spans"])
+
+    return spans.repartition("id").sortWithinPartitions("id", "start").mapInArrow(lean(run), "id long, spans array<struct<start:long,end:long>>")
 
 
 def repeated_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """Spans ``id, start, length`` whose bytes all lie in a string that occurs earlier; they may overlap.
 
-    A null id counts as the smallest. Rows that repeat an id are read as one document each; the spans found for
-    any of them hold for the id. Texts under ``span`` bytes, empty and null ones have none.
+    Ids must be integers, different and not null. Texts under ``span`` bytes, empty and null ones have none.
     """
-    texts = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_column).cast("string").alias("text"))
+    texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (x for b in batches if (x := anchor_rows(b, span, gram)) is not None)
 
+    def by_sorting(contexts: DataFrame) -> DataFrame:
+        ordered = contexts.repartition("gram").sortWithinPartitions("gram", "id", "place")
+        return ordered.mapInArrow(lean(lambda b: sorted_contexts(b, span, gram)), "id long, start long, length long")
+
     keys = texts.mapInArrow(lean(first), "gram long, context long, id long, place long")
     ordered = keys.repartition("gram").sortWithinPartitions("gram", "context", "id", "place")
     found = staged(ordered.mapInArrow(lean(lambda b: matched(b, span, gram)), "id long, start long, length long, gram long"), "matches")
     covered = found.where("gram is null").select("id", "start", "length")
     candidates = found.where("gram is not null")
     marks = candidates.groupBy("id").agg(F.collect_list(F.struct("start", "gram")).alias("marks"))
-    bytes_of = texts.join(marks, "id").mapInArrow(lean(lambda b: context_rows(b, span, gram)), "gram long, id long, place long, before int, context binary")
-    hot = candidates.groupBy("gram").count().where(F.col("count") > most_contexts).select("gram")
-    if not hot.isEmpty():
-        bytes_of = staged(bytes_of, "contexts")
-        spans = bytes_of.join(hot, "gram", "left_semi").mapInArrow(lean(lambda b: span_rows(b, span, gram)), "a long, b long, id long, start long")
-        earliest = spans.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        again = spans.join(earliest, ["a", "b"]).where("id > first.id or id = first.id and start > first.start")
-        covered = covered.union(again.select("id", "start", F.lit(span).cast("long").alias("length")))
-        bytes_of = bytes_of.join(hot, "gram", "left_anti")
-    by_gram = bytes_of.repartition("gram").sortWithinPartitions("gram", "id", "place")
-    return covered.union(by_gram.mapInArrow(lean(lambda b: sorted_contexts(b, span, gram)), "id long, start long, length long"))
+    contexts = texts.join(marks, "id").mapInArrow(lean(lambda b: context_rows(b, span, gram)), CONTEXTS)
+    large = candidates.groupBy("gram").count().where(F.col("count") > most_contexts).select("gram")
+    if not large.isEmpty():
+        contexts = staged(contexts, "contexts")
+    while not large.isEmpty():
+        large = staged(large, "large")
+        covered = covered.union(by_sorting(contexts.join(large, "gram", "left_anti")))
+        halves = staged(contexts.join(large, "gram", "left_semi").mapInArrow(lean(lambda b: halved(b, span)), CONTEXTS), "halves")
+        alike = ["gram", "low", "high", "before", "context"]
+        # written, so that the join reads both sides by plain shuffles and a large group can be split among tasks
+        firsts = staged(halves.groupBy(*alike).agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+        again = halves.join(firsts.where("n > 1"), alike).where("id <> first.id or place <> first.place")
+        covered = covered.union(again.select("id", (F.col("place") - F.col("before")).alias("start"), F.length("context").cast("long").alias("length")))
+        contexts = firsts.select("gram", "low", "high", "first.id", "first.place", "before", "context")
+        large = contexts.groupBy("gram").count().where(F.col("count") > most_contexts).select("gram")
+    return covered.union(by_sorting(contexts))
 
 
 def cut_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -358,29 +398,35 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, id_column: str = "doc
     Returns ``doc_id, n_bytes, n_removed, n_spans, spans, kept``: the maximal removed runs as (start, end) and the
     remaining bytes put together. With ``keep_columns`` instead the input's columns, with the text cut at whole
     characters only, and without documents of which nothing is left. Null and empty texts lose nothing (they
-    are kept as they are).
+    are kept as they are). Every row is a document: rows of equal ids come in the order of their texts' digests,
+    rows that are alike in the order in which they are read, and a null id comes before any other. Texts may be as
+    long as a row can be; other columns may have any name. An empty table gives no rows.
     """
-    found = staged(repeated_spans(documents, span, GRAM, id_column, text_column, most_contexts), "spans")
-    by_id = found.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("__spans")).withColumnRenamed("id", "__id")
-    marked = documents.withColumn("__key", F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)))
-    joined = marked.join(by_id, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
-    if not keep_columns:
-        joined = joined.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), "__spans")
-    text_name = text_column if keep_columns else "text"
+    rows, key = documents, id_column
+    if not told_apart(documents, id_column):
+        key = free_name(documents, "__row")
+        rows = numbered(documents, id_column, text_column, key, nulls_first=True)
+    found = staged(span_lists(repeated_spans(rows, span, GRAM, key, text_column, most_contexts)), "spans")
+    own_id, own_spans = free_name(rows, "__id"), free_name(rows, "__spans")
+    lists = found.select(F.col("id").alias(own_id), F.col("spans").alias(own_spans))
+    joined = rows.join(lists, F.col(key) == F.col(own_id), "left")
+    joined = joined.drop(own_id, *([key] if key != id_column else []))
+    if keep_columns:
+        text_name = text_column
+    else:
+        joined, text_name = joined.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(own_spans).alias("spans")), "text"
+        own_spans = "spans"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column(text_name))
-            spans = batch.column("__spans")
+            spans = batch.column(own_spans)
             bounds = np.asarray(spans.offsets).astype(np.int64)
-            starts, lengths = np.asarray(spans.values.field("start")), np.asarray(spans.values.field("length"))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             size = np.diff(offsets)
-            start = np.minimum(starts[bounds[0] : bounds[-1]], size[row])
-            end = np.minimum(starts[bounds[0] : bounds[-1]] + lengths[bounds[0] : bounds[-1]], size[row])
-            real = end > start
-            row, start, end = united(row[real], start[real], end[real])
-            limits = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            start, end = (np.asarray(spans.values.field(k))[bounds[0] : bounds[-1]] for k in ("start", "end"))
+            end = np.minimum(end, size[row])  # the bytes that a context lacks at the end of its text
+            limits = bounds - bounds[0]
             if keep_columns:
                 texts = batch.column(text_name).to_pylist()
                 kept = np.ones(batch.num_rows, bool)
@@ -389,8 +435,8 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, id_column: str = "doc
                     parts_ = [whole_characters(own, a, b) for a, b in zip(start[limits[k] : limits[k + 1]].tolist(), end[limits[k] : limits[k + 1]].tolist(), strict=True)]
                     left = cut_spans(own, *np.array(parts_, np.int64).T)
                     texts[k], kept[k] = left.tobytes().decode("utf-8", "replace"), len(left) > 0
-                columns = [pa.array(texts, pa.string()) if name == text_name else batch.column(name) for name in batch.schema.names if name != "__spans"]
-                yield pa.RecordBatch.from_arrays(columns, [x for x in batch.schema.names if x != "__spans"]).filter(pa.array(kept))
+                columns = [pa.array(texts, pa.string()) if name == text_name else batch.column(name) for name in batch.schema.names if name != own_spans]
+                yield pa.RecordBatch.from_arrays(columns, [x for x in batch.schema.names if x != own_spans]).filter(pa.array(kept))
                 continue
             for first in range(0, batch.num_rows, 1024):
                 last = min(batch.num_rows, first + 1024)
