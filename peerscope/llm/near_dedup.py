@@ -8,9 +8,10 @@ threshold is verified on the full sets. Links make components.
 
 No bucket is expanded into all its pairs. Equal sets are one class from the start. Then every member is
 compared with the smallest member of its bucket, which joins nearly all that belongs together. Only where a
-bucket still holds several components are members of different components compared inside one task, by sketch
-and then, for those with a similar sketch, by set; what comes out are links, not pairs. A bucket too large
-for that is split by its members' other band keys, which similar documents share as well.
+bucket still holds several components are members of different components compared, by sketch and then, for
+those with a similar sketch, by set; what comes out are links, not pairs. A large bucket is dealt to blocks, by the
+sizes of the sets and a hash, and a task compares two blocks: all pairs whose sizes allow the threshold meet once,
+however large the bucket, and no task holds more than two blocks of it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, row_ranges, utf8_column
 from peerscope.llm.components import components
 from peerscope.llm.polyhash import PrefixHash, mixed
+from peerscope.llm.rows import free_name, numbered, told_apart
 from peerscope.staging import staged
 
 REGISTERS, BANDS = 128, 32
@@ -33,17 +35,19 @@ MANTISSA = 10
 VALUE_BITS = 64 - 7  # what is left of a hash after the bucket's number
 #: A sketch estimate this far below the threshold rules a pair out; over five standard deviations at 0.8.
 MARGIN = 0.2
-#: Members of a bucket that one task compares with each other.
-BUCKET = 2000
+#: Members of a block; a bucket of up to two blocks is compared in one piece.
+BLOCK = 500
+#: Members, and bytes of theirs, that a task takes up before it compares the buckets that are complete.
+HELD_ROWS, HELD_BYTES = 4000, 16 << 20
 PART_BYTES = 1 << 19
-#: The column of row numbers where ids don't tell rows apart.
-KEY = "__row"
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 STEPS = mixed(np.arange(1, 65, dtype=np.uint64))
+#: The side that a member's partners in a pair of blocks are on; side 0 is that of a block compared with itself.
+PARTNER = np.array([0, 2, 1])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +245,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole buckets from rows sorted by ``key``; about two buckets of the largest size at a time."""
+    """Tables of whole buckets from rows sorted by ``key``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= 2 * BUCKET:
+        if sum(x.num_rows for x in held) >= HELD_ROWS or sum(x.nbytes for x in held) >= HELD_BYTES:
             table = pa.Table.from_batches(held)
             keys = np.asarray(table["key"].combine_chunks())
             whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
@@ -260,7 +264,7 @@ class Members:
     """The members of some buckets as arrays, and for each which later ones of its bucket may be similar."""
 
     def __init__(self, table: pa.Table, percent: int):
-        self.keys, self.bands, self.ids, self.labels, self.sizes = (np.asarray(table[k].combine_chunks()).copy() for k in ("key", "band", "id", "label", "n_shingles"))
+        self.keys, self.bands, self.sides, self.ids, self.labels, self.sizes = (np.asarray(table[k].combine_chunks()).copy() for k in ("key", "band", "side", "id", "label", "n_shingles"))
         self.registers = register_matrix(table["registers"].combine_chunks())
         self.percent, self.least = percent, percent / 100 - MARGIN
         self.edges = np.concatenate(([0], np.flatnonzero(self.keys[1:] != self.keys[:-1]) + 1, [len(self.keys)]))
@@ -270,15 +274,15 @@ class Members:
 
     def similar(self, k: int, end: int) -> np.ndarray:
         """Later members of other components that may reach the threshold; a pair counts in its first common band only."""
-        other = np.arange(k + 1, end)[self.labels[k + 1 : end] != self.labels[k]]
+        later = slice(k + 1, end)
+        other = np.arange(k + 1, end)[(self.labels[later] != self.labels[k]) & (self.sides[later] == PARTNER[self.sides[k]])]
         other = other[100 * np.minimum(self.sizes[other], self.sizes[k]) >= self.percent * np.maximum(self.sizes[other], self.sizes[k])]
         if not len(other):
             return other
         theirs, own = self.registers[other], self.registers[k]
         near = estimated(theirs, own[None, :], self.sizes[other], np.full(len(other), self.sizes[k])) >= self.least
-        if self.bands[k] >= 0:
-            same = (theirs == own).reshape(len(other), BANDS, -1).all(axis=2) & (own.reshape(BANDS, -1) != 0).any(axis=1)
-            near &= same.argmax(axis=1) == self.bands[k]
+        same = (theirs == own).reshape(len(other), BANDS, -1).all(axis=2) & (own.reshape(BANDS, -1) != 0).any(axis=1)
+        near &= same.argmax(axis=1) == self.bands[k]
         return other[near]
 
 
@@ -291,7 +295,7 @@ def promising(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             for k in bucket:
                 if len(other := members.similar(k, bucket.stop)):
                     wanted[k] = wanted[other] = True
-        yield from table.select(["key", "band", "id", "label"]).filter(pa.array(wanted)).to_batches()
+        yield from table.select(["key", "band", "side", "id", "label"]).filter(pa.array(wanted)).to_batches()
 
 
 def links_across(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -299,7 +303,7 @@ def links_across(batches: Iterator[pa.RecordBatch], words: int, percent: int) ->
 
     Members that a link has joined are one component from then on, so a bucket gives fewer links than members.
     """
-    cache = SetCache(words, 2 * BUCKET)
+    cache = SetCache(words)
     for table in whole_buckets(batches):
         members = Members(table, percent)
         sets = cache.sets(table["text"].combine_chunks().to_pylist())
@@ -336,75 +340,80 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members ``key, band, id, label, size`` of the buckets that hold several components."""
-    known = members.join(labels, "id")
-    several = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("key", "size")
-    return known.join(several, "key").select("key", "band", "id", "label", "size")
+def grade(percent: int) -> Column:
+    """The size of a set in steps of the threshold: sets that can reach it are at most one grade apart."""
+    step = float(np.log(max(100 / max(percent, 1), 1.05)))
+    return F.floor(F.log("n_shingles") / step + 1e-9).cast("int")
+
 
+def dealt_buckets(members: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Members ``key, band, side, id, label`` of the buckets that hold several components, dealt to what a task compares.
 
-def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET) -> DataFrame:
+    ``members`` has ``key, band, id, grade``. A bucket of over two blocks becomes several: one for every block and one
+    for every pair of blocks that are at most a grade apart. In those of a pair, sides 1 and 2 are to be compared.
+    """
+    known = members.join(labels, "id")
+    several = staged(known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("key", "size"), "several")
+    blended = staged(known.join(several, "key").select("key", "band", "id", "label", "grade", "size"), "mixed")
+    small = blended.where(F.col("size") <= 2 * block).select("key", "band", F.lit(0).alias("side"), "id", "label")
+    large = blended.where(F.col("size") > 2 * block)
+    grades = large.groupBy("key", "grade").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = staged(grades.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("grade", "blocks"))).alias("blocks")), "blocks")
+    place = lambda g, h: F.struct(g.alias("grade"), h.cast("int").alias("block"))
+    own = large.join(blocks, "key").withColumn("own", place(F.col("grade"), F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("grade")])))
+    near = F.filter(F.map_entries("blocks"), lambda e: F.abs(e["key"] - F.col("grade")) <= 1)
+    others = F.flatten(F.transform(near, lambda e: F.transform(F.sequence(F.lit(0), e["value"] - 1), lambda h: place(e["key"], h))))
+    pairs = own.withColumn("other", F.explode(others))
+    task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return small.union(pairs.select(task.alias("key"), "band", side.alias("side"), "id", "label"))
+
+
+def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Words are what lies between ASCII white space, with A-Z lower-cased; a text with fewer than ``words`` words has
     one shingle, a null or empty one or one without words has none and is linked with nothing. Documents are
     linked if 100 * common >= percent * union; ``component_id`` is the smallest id reachable. Rows that repeat
     an id are one document, linked by each of its texts. A null id is linked with nothing and is its own component.
+    Ties have no part in it, texts may be as long as a row can be, other columns may have any name, and an empty
+    table gives no rows.
     """
-    if not repeats(documents.where(F.col(id_column).isNotNull()), id_column):
-        return linked_rows(documents, words, percent, id_column, text_column, bucket)
-    known = F.col(id_column).isNotNull()
-    rows = keyed(documents.select(id_column, text_column), id_column, text_column).withColumn(KEY, F.when(known, F.col(KEY)))
-    found = staged(linked_rows(rows, words, percent, KEY, text_column, bucket).select(F.col("doc_id").alias(KEY), "n_shingles", F.col("component_id").alias("own")), "rows")
-    ids = rows.where(known).select(KEY, F.col(id_column).alias("doc_id"))
-    firsts = ids.groupBy("doc_id").agg(F.min(KEY).alias("a"))
-    same = ids.join(firsts, "doc_id").select("a", F.col(KEY).alias("b")).where("a <> b")
-    joined = components(same.union(found.where(F.col("own") != F.col(KEY)).select(F.col("own").alias("a"), F.col(KEY).alias("b"))))
-    names = ids.select(F.col(KEY).alias("component"), F.col("doc_id").alias("component_id"))
-    whole = found.join(ids, KEY, "left").join(joined, F.col(KEY) == F.col("node"), "left").withColumn("component", F.coalesce("component", KEY))
+    if told_apart(documents.where(F.col(id_column).isNotNull()), id_column):
+        return linked_rows(documents, words, percent, id_column, text_column, block)
+    known, key = F.col(id_column).isNotNull(), free_name(documents, "__row")
+    rows = numbered(documents.select(id_column, text_column), id_column, text_column, key).withColumn(key, F.when(known, F.col(key)))
+    found = staged(linked_rows(rows, words, percent, key, text_column, block).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("own")), "rows")
+    ids = rows.where(known).select(F.col(key).alias("node"), F.col(id_column).alias("doc_id"))
+    firsts = ids.groupBy("doc_id").agg(F.min("node").alias("a"))
+    same = ids.join(firsts, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    joined = components(same.union(found.where("own <> node").select(F.col("own").alias("a"), F.col("node").alias("b"))))
+    names = ids.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    whole = found.join(ids, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return whole.join(names, "component", "left").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def repeats(documents: DataFrame, id_column: str) -> bool:
-    """Whether an id occurs in several rows or is null."""
-    return not documents.groupBy(id_column).count().where(F.col(id_column).isNull() | (F.col("count") > 1)).isEmpty()
-
-
-def keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``documents`` with a number of each row in KEY, in the order of ids, null ones last, and of the texts' digests."""
-    order = [F.col(id_column).asc_nulls_last(), F.sha2(F.col(text_column).cast("string"), 256)]
-    return staged(documents.orderBy(*order).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
-
-
-def linked_rows(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str, bucket: int = BUCKET) -> DataFrame:
-    """``near_groups`` of rows whose ids are different or null."""
+def linked_rows(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str, block: int = BLOCK) -> DataFrame:
+    """``near_groups`` of rows whose ids are different integers or null."""
     kind = documents.schema[id_column].dataType
     sketched = staged(summaries(documents, words, id_column, text_column), "sketches")
     filled = sketched.where("n_shingles > 0 and id is not null")
     classes = staged(filled.groupBy("digest").agg(F.min("id").alias("first")), "classes")
     firsts = classes.select(F.col("first").alias("id"))
-    whole = staged(filled.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "keys"), "sketches")
+    whole = staged(filled.join(firsts, "id", "left_semi").select("id", "n_shingles", "registers", "keys"), "sketches")
 
-    keys = whole.select("id", F.posexplode("keys").alias("band", "key")).where("key <> 0")
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
-    members = staged(keys.join(centres, "key").select("key", "band", "id", "centre"), "members")
+    keys = whole.select("id", grade(percent).alias("grade"), F.posexplode("keys").alias("band", "key")).where("key <> 0")
+    centres = staged(keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"), "centres")
+    members = staged(keys.join(centres, "key").select("key", "band", "id", "grade", "centre"), "members")
     texts = staged(squeezed(documents, members.select("id").distinct(), id_column, text_column), "texts")
     pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = staged(verified(staged(likely(pairs, whole, percent), "pairs"), texts, words, percent), "verified")
     labels = staged(labelled(whole, links), "labels")
 
-    members = members.drop("centre")
-    rest = staged(mixed_buckets(members, labels), "mixed")
-    while not (large := rest.where(F.col("size") > bucket)).isEmpty():
-        # similar documents share several keys: split a large bucket by its members' other keys
-        others = members.select(F.col("key").alias("second"), "id")
-        finer = large.select("key", "id").join(others, "id").where("second <> key").select(F.xxhash64("key", "second").alias("key"), F.lit(-1).alias("band"), "id")
-        before, rest = rest, staged(rest.where(F.col("size") <= bucket).union(mixed_buckets(finer, labels)), "mixed")
-        if rest.agg(F.max("size")).first()[0] == before.agg(F.max("size")).first()[0]:
-            bucket *= 2  # alike in all keys: compare them after all
+    dealt = dealt_buckets(members.drop("centre"), labels, percent, block)
     sketch = whole.select("id", "n_shingles", "registers")
-    by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "id")
-    close = by_bucket(rest.drop("size").join(sketch, "id")).mapInArrow(lean(lambda b: promising(b, percent)), "key long, band int, id long, label long")
+    by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "side", "id")
+    close = by_bucket(dealt.join(sketch, "id")).mapInArrow(lean(lambda b: promising(b, percent)), "key long, band int, side int, id long, label long")
     close = staged(close, "promising")
     if not close.isEmpty():
         detailed = by_bucket(close.join(sketch, "id").join(texts, "id"))
@@ -422,11 +431,14 @@ def linked_rows(documents: DataFrame, words: int, percent: int, id_column: str,
 def drop_near_copies(documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``documents`` with one row of each component, the one with the smallest id, nulls last.
 
-    Where ids are null or repeat, every row is linked by its own text, and rows of the same id and text are one.
+    Where ids are null or repeat, every row is linked by its own text, rows of the same id and text among them. Null
+    and empty texts all stay. Other columns may have any name; an empty table gives no rows.
     """
     rows, key = documents, id_column
-    if own := repeats(documents, id_column):
-        rows, key = keyed(documents.dropDuplicates([id_column, text_column]), id_column, text_column), KEY
-    kept = linked_rows(rows, words, percent, key, text_column).where("kept").select(F.col("doc_id").alias("__id"))
-    out = rows.join(kept, F.col(key) == F.col("__id"), "left_semi")
-    return out.drop(KEY) if own else out
+    if not told_apart(documents, id_column):
+        key = free_name(documents, "__row")
+        rows = numbered(documents, id_column, text_column, key)
+    own = free_name(rows, "__id")
+    kept = linked_rows(rows, words, percent, key, text_column).where("kept").select(F.col("doc_id").alias(own))
+    out = rows.join(kept, F.col(key) == F.col(own), "left_semi")
+    return out if key == id_column else out.drop(key)
