@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
-A text is cut where its content says so: behind a sentence or line end, once a chunk has its least length.
-A chunk's identifier is its 64-bit hash. Before it is used, the distinct chunk texts are brought together
+A text is cut where its content says so: between words that end and begin with certain letters, and after 8,192
+characters without such a place.
+A chunk's identifier is a pair of 64-bit hashes. Before it is used, the distinct chunk texts are brought together
 once and compared: an identifier that stands for two texts is not used, and the wider SHA-256 takes its
 place (checked the same way). A document then is its recipe, the ordered list of identifiers, and equal
 documents have equal recipes. Only recipes are shuffled from there on, however long the documents are.
@@ -12,18 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerscope.llm.rows import free_name, numbered, told_apart
 from peerscope.staging import staged
 
-LEAST_CHARS, MOST_CHARS = 1024, 8192
+MOST_CHARS = 8192
+#: A place to cut: white space between one of two letters and one of two others, about one character in a thousand.
+#: It depends on three characters only, so copies of a passage are cut alike wherever they stand.
+PLACE = r"(?<=[hlHL]\s)(?=[dgDG])"
 
 
-def chunks(text: Column, least: int = LEAST_CHARS, most: int = MOST_CHARS) -> Column:
+def chunks(text: Column, most: int = MOST_CHARS) -> Column:
     """The chunks of a text in order; together they are the text, and the empty text has none."""
-    pattern = rf"(?s).{{{least},{most}}}?(?:(?<=\n)|(?<=[.!?] )|\z)|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}?(?:{PLACE}|\z)|.{{1,{most}}}"), F.lit(0))
 
 
-IDENTIFIERS = {"xxhash64": lambda c: F.xxhash64(c), "sha256": lambda c: F.sha2(c, 256)}
+#: Of 10^12 chunks two share a pair of 64-bit hashes with a chance below 10^-14.
+IDENTIFIERS = {"xxhash64_pair": lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")), "sha256": lambda c: F.sha2(c, 256)}
 
 
 def colliding(texts: DataFrame, identifier: str) -> bool:
@@ -55,11 +60,15 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``documents`` without the rows whose text another row with a larger id has; of rows alike in id and text one stays."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    kept = exact_groups(documents, id_column, text_column).where("kept")
-    keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__text"))
-    out = documents.join(keys, same, "left_semi")
-    repeated = not keys.groupBy("__id", "__text").count().where("count > 1").isEmpty()
-    return out.dropDuplicates([id_column, text_column]) if repeated else out
+    """``documents`` without the rows whose text another row with a larger id has; of rows alike in id and text one stays.
+
+    A null id is below any other. Other columns may have any name; an empty table gives no rows.
+    """
+    rows, key = documents, id_column
+    if not told_apart(documents, id_column):
+        key = free_name(documents, "__row")
+        rows = numbered(documents, id_column, text_column, key, nulls_first=True)
+    own = free_name(rows, "__id")
+    kept = exact_groups(rows, key, text_column).where("kept").select(F.col("doc_id").alias(own))
+    out = rows.join(kept, F.col(key) == F.col(own), "left_semi")
+    return out if key == id_column else out.drop(key)
