@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from peerscope.llm import components, exact_dedup, near_dedup, suffix_dedup
 from peerscope.llm.queries import ORACLE_SQL, op1_suffix_dedup, op3_near_dedup, op6_exact_dedup
@@ -72,7 +73,7 @@ def repeated_rows(seed):
     return rows + [(2000, "x" * 700), (2001, "y" + "x" * 350), (2002, base[0]), (2003, base[0]), (2004, "ab" * 200), (2005, base[1][:99]), (2006, ""), (None, base[2])]
 
 
-@pytest.mark.parametrize(("seed", "most"), [(0, 20_000), (1, 3)])
+@pytest.mark.parametrize(("seed", "most"), [(0, 20_000), (1, 3), (2, 1)])
 def test_removed_repeats_equal_brute_force(spark, seed, most):
     rows = repeated_rows(seed)
     frame = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(5)
@@ -106,13 +107,44 @@ def test_every_span_has_its_anchor(monkeypatch, part):
                 assert seen == text[max(0, place - 68) : place + 100]
 
 
-def test_repeated_ids_and_empty_tables(spark):
-    text = "".join(random.Random(4).choices("abcdefgh", k=300))
-    frame = spark.createDataFrame([(1, text + text, "a"), (1, text + text, "b"), (2, text, "c")], SCHEMA)
-    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect()) == [(1, 300), (1, 300), (2, 300)]
+def test_rows_of_repeated_and_null_ids_stay_documents(spark):
+    draw = random.Random(4)
+    text = lambda: "".join(draw.choices("abcdefgh", k=300))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "1"), (5, a + b, "2"), (5, c + d, "3"), (None, c + c, "4"), (None, d, "5"), (None, None, "6"), (7, b, "7"), (7, b, "8"), (8, "", "9")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    # in the order of ids, null ones first, then of digests; of equal rows either loses all
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest() if x[1] is not None else ""))
+    want = brute_repeats([(k, t) for k, (_, t, _) in enumerate(order)], 100)
+    got = suffix_dedup.remove_repeats(frame).collect()
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((repr(order[k][0]), *x) for k, x in want.items())
+    kept = {r.id: r.text for r in suffix_dedup.remove_repeats(frame, keep_columns=True).collect()}
+    assert kept["1"] == a and kept["2"] == b and "3" not in kept and kept["4"] == c and kept["5"] == d and kept["6"] is None
+    assert not {"7", "8"} & kept.keys() and kept["9"] == ""
     assert suffix_dedup.remove_repeats(frame.limit(0)).count() == 0
-    kept = suffix_dedup.remove_repeats(frame, keep_columns=True).collect()
-    assert sorted((r.doc_id, r.text == text, r.id) for r in kept) == [(1, True, "a"), (1, True, "b")]
+
+
+def test_clashing_names_do_no_harm(spark):
+    names = ["doc_id", "text", "__id", "__spans", "__row", "spans", "id", "__tie", "copies"]
+    text = "".join(random.Random(4).choices("abcdefgh", k=300))
+    for last in (2, None):
+        frame = spark.createDataFrame([(1, text, 1, 2, 3, "s", "i", 4, 5), (last, text, 6, 7, 8, "t", "j", 9, 10)], "doc_id bigint, text string, __id int, __spans int, __row int, spans string, id string, __tie int, copies int")
+        for stage in (lambda f: suffix_dedup.remove_repeats(f, keep_columns=True), exact_dedup.drop_copies, near_dedup.drop_near_copies):
+            out = stage(frame)
+            assert out.columns == names and len(out.collect()) == 1
+
+
+def test_a_gram_of_very_many_contexts_is_refined(spark):
+    """One passage in very many different surroundings, some of which share more than it."""
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    passage, ends = text(104), [text(60) for _ in range(7)]
+    rows = [(k, text(80) + passage + (draw.choice(ends) if k % 2 else text(60))) for k in range(400)]
+    rows += [(1000 + k, text(70) + passage[:99] + text(50)) for k in range(100)]
+    want = brute_repeats(rows, 100)
+    frame = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(4)
+    for r in suffix_dedup.remove_repeats(frame, most_contexts=20).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
 
 
 def test_texts_are_cut_at_characters(spark):
@@ -172,11 +204,11 @@ def near_rows(seed, count=260):
     return rows + [(200001, None), (200002, ""), (200003, " \n"), (200004, "a"), (200005, "A "), (None, "a")]
 
 
-@pytest.mark.parametrize(("words", "bucket"), [(4, 2000), (5, 4)])
-def test_near_groups_equal_brute_force(spark, words, bucket):
+@pytest.mark.parametrize(("words", "block"), [(4, 2000), (5, 4)])
+def test_near_groups_equal_brute_force(spark, words, block):
     rows = near_rows(words)
     frame = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA).repartition(4)
-    got = near_dedup.near_groups(frame, words=words, percent=80, bucket=bucket).collect()
+    got = near_dedup.near_groups(frame, words=words, percent=80, block=block).collect()
     want = brute_near(rows, words, 80)
     assert len(got) == len(rows)
     for r in got:
@@ -190,6 +222,46 @@ def test_near_groups_of_repeated_ids_and_no_rows(spark):
     assert [r.doc_id for r in near_dedup.drop_near_copies(frame).collect()] == [5]
 
 
+def test_large_buckets_of_unlinked_look_alikes(spark, monkeypatch):
+    """Blocks hold two at a time, rows don't multiply, and the few links among the look-alikes are found."""
+    draw = random.Random(21)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(90):  # a third of their words differ, so that they share bands, but no link
+        own = list(base)
+        for at in range(k % 3, 300, 24):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+        if k % 10 == 5:  # a link with the one before, and one of a set that is much smaller
+            own[draw.randrange(300)] = "z"
+            rows += [(1000 + k, " ".join(own)), (2000 + k, " ".join(own[:120]))]
+    want, seen, deal = brute_near(rows, 4, 80), [], near_dedup.dealt_buckets
+
+    def dealt(members, labels, percent, block):
+        out = deal(members, labels, percent, block)
+        seen.append((members.count(), out.count(), out.groupBy("key").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(near_dedup, "dealt_buckets", dealt)
+    got = near_dedup.near_groups(spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA), words=4, block=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 80
+    members, out, largest = seen[0]
+    assert largest <= 40 and out <= members * (len(rows) // 8 + 3)
+
+
+def test_recall_of_the_bands(spark):
+    """Pairs at the threshold that share no band, of sets of all sizes."""
+    draw = np.random.default_rng(5)
+    missed = 0
+    for size in (5, 10, 25, 100, 1000):
+        both = size * 4 // 5  # the smaller set is part of the larger one: 80 %
+        pools = [np.unique(draw.integers(0, 1 << 63, 2 * size, dtype=np.uint64) * np.uint64(2))[:size] for _ in range(400)]
+        parts = [x for pool in pools for x in (pool, np.sort(draw.permutation(pool)[:both]))]
+        keys = near_dedup.band_keys(near_dedup.sketches(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))))
+        missed += int((~((keys[::2] == keys[1::2]) & (keys[::2] != 0)).any(axis=1)).sum())
+    assert missed == 0
+
+
 def test_estimates_are_close(spark):
     draw = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
@@ -254,6 +326,14 @@ def test_chunks_are_the_text(spark):
         assert "".join(r.c) == r.text and all(0 < len(x) <= 2 * exact_dedup.MOST_CHARS for x in r.c)
 
 
+def test_shifted_copies_share_their_chunks(spark):
+    draw = random.Random(3)
+    text = " ".join("".join(draw.choice("abcdefghl") for _ in range(draw.randint(1, 7))) for _ in range(5000))
+    rows = [(text,), ("some words put in front " + text,)]
+    a, b = (r.c for r in spark.createDataFrame(rows, "text string").select(exact_dedup.chunks(F.col("text")).alias("c")).collect())
+    assert len(a) > 20 and a[1:] == b[-len(a) + 1 :]
+
+
 def test_exact_groups_of_odd_rows(spark):
     rows = [(1, "a", "x"), (2, "a", "x"), (3, "a ", "x"), (4, None, "x"), (5, "", "x"), (None, "b", "x"), (7, "b", "x"), (8, "c", "x"), (8, "c", "x")]
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -267,7 +347,7 @@ def test_exact_groups_of_odd_rows(spark):
 
 
 def test_colliding_identifiers_fall_back(spark, monkeypatch):
-    monkeypatch.setitem(exact_dedup.IDENTIFIERS, "xxhash64", lambda c: exact_dedup.F.length(c).cast("bigint"))
+    monkeypatch.setitem(exact_dedup.IDENTIFIERS, "xxhash64_pair", lambda c: exact_dedup.F.length(c).cast("bigint"))
     rows = [(1, "ab", None), (2, "cd", None), (3, "ab", None)]
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.keep_id) for r in got) == [(1, 3), (2, 2), (3, 3)]
