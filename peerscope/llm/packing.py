@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, utf8_column
 from peerscope.llm.bpe import id_bytes, worker_encoder
+from peerscope.llm.rows import free_name
 from peerscope.staging import staged
 
 WINDOW = 4096
@@ -77,11 +78,11 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return sequence, offset
 
 
-def token_pieces(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The pieces of every document's ids followed by ``end_id``: full windows, then the rest.
 
-    Columns ``doc_id, start, length, ids_crc32, doc_tokens`` and, on demand, ``ids``. A null or empty text is the
-    single id ``end_id``. Repeated rows are documents of their own.
+    Columns ``doc_id, start, length, ids_crc32, doc_tokens``. A null or empty text is the single id ``end_id``.
+    Repeated rows are documents of their own.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
@@ -89,44 +90,46 @@ def token_pieces(documents: DataFrame, path: str, window: int = WINDOW, end_id:
         encoder, end = worker_encoder(path, id_bytes), id_bytes([end_id])
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            out, owner, kept = [], [], []
+            out, owner = [], []
             for row, values in enumerate(encoder.rows(data, offsets)):
                 ids = b"".join(values) + end
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at : at + 4 * window]
                     owner.append(row)
                     out.append((at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-                    if with_ids:
-                        kept.append(np.frombuffer(part, "<i4"))
-                if with_ids and len(kept) >= 512 or row + 1 == batch.num_rows:
-                    table = np.array(out, np.int64).reshape(-1, 4)
-                    arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(table[:, k]) for k in range(4))]
-                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-                    out, owner, kept = [], [], []
+            table = np.array(out, np.int64).reshape(-1, 4)
+            arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(table[:, k]) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, bin_pieces: int = BIN_PIECES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``pieces`` is read twice, so give a written table.
 
     Every piece is placed once; the offsets of a sequence run from 0 without gaps to at most ``window``. Rows
-    that are alike in all columns are separate pieces. An empty table stays empty.
+    that are alike in all columns are separate pieces, dealt to all bins. Pieces of equal length are taken in the
+    order of their ids and starts. An empty table stays empty.
     """
-    bins = max(1, -(-pieces.count() // bin_pieces))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)).cast("long"))
+    bins, bin_name = max(1, -(-pieces.count() // bin_pieces)), free_name(pieces, "bin")
+    # the row's number deals out rows that are alike, too; reading the same files again gives the same numbers
+    dealt = pieces.withColumn(bin_name, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(bins)).cast("long"))
 
     def run(group: pa.Table) -> pa.Table:
         order = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
         sequence, offset = best_fit_decreasing(order["length"].to_pylist(), window)
-        first = order["bin"][0].as_py() << 32
-        return order.drop_columns(["bin"]).append_column("sequence_id", pa.array(np.array(sequence, np.int64) + first)).append_column("offset", pa.array(offset, pa.int64()))
+        first = order[bin_name][0].as_py() << 32
+        return order.drop_columns([bin_name]).append_column("sequence_id", pa.array(np.array(sequence, np.int64) + first)).append_column("offset", pa.array(offset, pa.int64()))
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.schema)
-    return dealt.groupBy("bin").applyInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
+    return dealt.groupBy(bin_name).applyInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, bin_pieces: int = BIN_PIECES) -> DataFrame:
-    """Pieces of all documents with their place in padded sequences of ``window`` ids."""
+    """Pieces of all documents with their place in padded sequences of ``window`` ids.
+
+    Null and empty texts are the single id ``end_id``; null and repeated ids are documents of their own; texts of any
+    length are cut into full windows; other columns are left out.
+    """
     return pack(staged(token_pieces(documents, path, window, end_id), "pieces"), window, bin_pieces)
