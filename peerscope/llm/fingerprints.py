@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, utf8_column
+from peerscope.llm.rows import free_name, numbered, told_apart
 
-NULL_ID = -(1 << 63)
 #: Ranges of ids per shuffle partition when neighbours are brought together.
 RANGES_PER_PARTITION = 4
 
@@ -86,12 +86,13 @@ def fingerprint(documents: DataFrame, id_column: str = "doc_id", text_column: st
 def neighbours(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Compressed texts, dealt and sorted so that each row is followed by the next in descending order of ids.
 
-    Columns ``part, ghost, id, tie, text``. The ids are dealt to ranges; the first row of a range also goes, as a
-    ghost, behind the last one of the range before, and the very first behind the very last. Only range bounds
-    and first ids, a few per partition, pass through the driver.
+    Ids must be integers, different and not null. Columns ``part, ghost, id, text``. The ids are dealt to ranges; the
+    first row of a range also goes, as a ghost, behind the last one of the range before, and the very first behind the
+    very last. Only range bounds and first ids, a few per partition, pass through the driver.
     """
     spark = documents.sparkSession
-    ids = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"))
+    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    ids = rows.select("id")
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     bounds = np.unique(np.array(points, np.float64).astype(np.int64)) if points else np.zeros(0, np.int64)
@@ -113,23 +114,20 @@ def neighbours(documents: DataFrame, id_column: str, text_column: str) -> DataFr
             part = -np.searchsorted(bounds, own, side="right")
             for first in range(0, batch.num_rows, 1024):
                 last = min(batch.num_rows, first + 1024)
-                raw = [data[a:b].tobytes() for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True)]
-                texts, ties = [pack(x) for x in raw], [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in raw]
+                texts = [pack(data[a:b].tobytes()) for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True)]
                 ghosts = [k for k in range(last - first) if int(own[first + k]) in before]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*part[first:last].tolist(), *(before[int(own[first + k])] for k in ghosts)], pa.int64()),
                         pa.array([0] * (last - first) + [1] * len(ghosts), pa.int32()),
                         pa.array([*own[first:last].tolist(), *(int(own[first + k]) for k in ghosts)], pa.int64()),
-                        pa.array(ties + [ties[k] for k in ghosts], pa.int64()),
                         pa.array(texts + [texts[k] for k in ghosts], pa.binary()),
                     ],
-                    ["part", "ghost", "id", "tie", "text"],
+                    ["part", "ghost", "id", "text"],
                 )
 
-    rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_column).cast("string").alias("text"))
-    spread = rows.mapInArrow(lean(run), "part long, ghost int, id long, tie long, text binary")
-    return spread.repartition("part").sortWithinPartitions("part", "ghost", F.col("id").desc(), "tie")
+    spread = rows.mapInArrow(lean(run), "part long, ghost int, id long, text binary")
+    return spread.repartition("part").sortWithinPartitions("part", "ghost", F.col("id").desc())
 
 
 def edited(text: str, following: str) -> str:
@@ -142,11 +140,14 @@ def edit_likeness(documents: DataFrame, id_column: str = "doc_id", text_column:
     """Fingerprints of each text and of its edited form, and how alike they and the next document's are.
 
     The next document is the one with the next smaller id, after the last the first; rows that repeat an id
-    follow each other in the order of a hash of their texts, and a null id comes last. Null and empty texts
-    are empty and stay empty when edited. Columns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint,
-    near_edited, near_next``.
+    follow each other in descending order of their texts' digests, and a null id comes last. Null and empty texts
+    are empty and stay empty when edited; other columns are left out. Columns ``doc_id, n_chars, edited, fingerprint,
+    edited_fingerprint, near_edited, near_next``.
     """
-    name = trusted_digest(documents, text_column)
+    name, rows, key = trusted_digest(documents, text_column), documents, id_column
+    if not told_apart(documents, id_column):
+        key = free_name(documents, "__row")
+        rows = numbered(documents.select(id_column, text_column), id_column, text_column, key, nulls_first=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, hashed = zstandard.ZstdDecompressor().decompress, DIGESTS[name]
@@ -156,21 +157,21 @@ def edit_likeness(documents: DataFrame, id_column: str = "doc_id", text_column:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 out = []
-                for part, ghost, own, _, packed in zip(*(batch.column(k).slice(first, 256).to_pylist() for k in range(5)), strict=True):
-                    if ghost and (waiting is None or waiting[0] != part):
-                        continue  # a further row with the id of the first ghost
+                for part, ghost, own, packed in zip(*(batch.column(k).slice(first, 256).to_pylist() for k in range(4)), strict=True):
                     text = unpack(packed).decode("utf-8", "replace")
                     form = canonical(text)
                     now = (part, own, text, form, hashed(form))
                     if waiting is not None and waiting[0] == part:
                         change = edited(waiting[2], text)
                         changed = canonical(change)
-                        out.append((None if waiting[1] == NULL_ID else waiting[1], len(waiting[2]), change, waiting[4], hashed(changed), float(changed == waiting[3]), float(form == waiting[3])))
+                        out.append((waiting[1], len(waiting[2]), change, waiting[4], hashed(changed), float(changed == waiting[3]), float(form == waiting[3])))
                     waiting = None if ghost else now
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    rows = neighbours(documents, id_column, text_column)
-    kind = documents.schema[id_column].dataType
-    out = rows.mapInArrow(lean(run), "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    kinds = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = neighbours(rows, key, text_column).mapInArrow(lean(run), kinds)
+    if key == id_column:
+        return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema[id_column].dataType))
+    own = rows.select(F.col(key).alias("row"), F.col(id_column).alias("own"))
+    return out.join(own, F.col("doc_id") == F.col("row")).withColumn("doc_id", F.col("own")).drop("row", "own")

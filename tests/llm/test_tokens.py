@@ -146,6 +146,15 @@ def test_packing_in_several_bins(spark, encoder):
     check_packing(got, ids, 64, 0.4)
 
 
+def test_like_rows_are_dealt_to_all_bins(spark):
+    frame = spark.createDataFrame([(None, None, None)] * 400, SCHEMA).repartition(3)
+    got = packing.pack_documents(frame, PATH, window=64, bin_pieces=50).collect()
+    bins = {}
+    for r in got:
+        bins[r.sequence_id >> 32] = bins.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 400 and len(bins) == 8 and max(bins.values()) < 100
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=60))
 def test_best_fit_decreasing(lengths):
