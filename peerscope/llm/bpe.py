@@ -6,8 +6,9 @@ together again. The table of such byte pairs comes from the vocabulary itself. F
 each distinct one is encoded once and its ids are looked up afterwards.
 
 A cut inside a word of the pre-tokenizer leaves a left part that isn't the end of a word: it is *open* and
-is encoded without the end-of-word mark. Everything that the byte rules here don't cover (characters beyond
-Latin-1, control characters, special strings) goes to the library word by word.
+is encoded without the end-of-word mark. Words that the byte rules here don't cover (with characters beyond
+Latin-1, control characters, special strings) go to the library one by one. So do whole texts where the
+tokenizer is of another kind, cut only where a space between two letters or digits is proven to part them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ REMEMBERED = 200_000
 
 SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
 CUT, OPEN_CUT = 1, 2
+MARK = "\u2581"  # a space in the pieces of a model
 OPEN_MARK = b" "  # no fragment holds white space
+ALNUM = np.zeros(256, bool)
+ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
 LEAD = 0xC3  # the first byte of U+00C0 to U+00FF in UTF-8
 
 
@@ -64,6 +68,20 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 LOWER[CLASS == SPACE] = 0x20
 
 
+def covered(path: str) -> bool:
+    """Whether the byte rules here hold for a tokenizer: its normalizer, split, special strings and kind of model."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    parts = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x["pattern"].get("Regex") for x in split if x["type"] == "Split"]
+    exact = all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and len(x["content"].encode()) > 1 for x in spec["added_tokens"])
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return parts == NORMALIZERS and splits == [SPLIT] and [x["type"] for x in split] == ["Split", "ByteLevel"] and bool(model.get("end_of_word_suffix")) and exact and plain
+
+
 @dataclass
 class Fragments:
     """Fragments of a block in order: where each begins and ends, its row, and its value's number."""
@@ -76,7 +94,10 @@ class Fragments:
 
 
 class FragmentEncoder:
-    """Encodes texts as the tokenizers library does; ``render`` turns the ids of a fragment into what is kept of it."""
+    """Encodes texts as the tokenizers library does; ``render`` turns the ids of a fragment into what is kept of it.
+
+    For tokenizers that the byte rules cover (``covered``).
+    """
 
     def __init__(self, path: str, render: Callable[[list[int]], object]):
         from tokenizers import Tokenizer, models
@@ -88,20 +109,16 @@ class FragmentEncoder:
         self.whole.no_padding()
         self.render = render
         model, self.suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
-        parts = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = [x["pattern"].get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        self.covered = parts == NORMALIZERS and splits == [SPLIT] and bool(self.suffix)
         self.known: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
         self.foreign_known: dict[bytes, object] = {}
-        if self.covered:
-            merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
-            self.closed_model = models.BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
-            self.open_model = models.BPE(model["vocab"], merges)
-            self.alphabet = dict(enumerate(byte_alphabet()))
-            special = {x["content"] for x in spec["added_tokens"]}
-            self.cut_kind = self.boundary_table([x for x in model["vocab"] if x not in special])
-            self.special_pairs = {tuple(x.encode()[:2]) for x in special}
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        self.closed_model = models.BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
+        self.open_model = models.BPE(model["vocab"], merges)
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        special = {x["content"] for x in spec["added_tokens"]}
+        self.cut_kind = self.boundary_table([x for x in model["vocab"] if x not in special])
+        self.special_pairs = {tuple(x.encode()[:2]) for x in special}
 
     def boundary_table(self, tokens: list[str]) -> np.ndarray:
         """By first byte * 256 + second byte: 0, or CUT, or OPEN_CUT for a cut inside a word."""
@@ -117,8 +134,8 @@ class FragmentEncoder:
 
     # -- blocks ---------------------------------------------------------------------------------
 
-    def foreign_rows(self, block: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The rows with bytes that the rules here don't cover."""
+    def foreign_spans(self, block: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the words, between white space or row bounds, with bytes that the rules here don't cover."""
         bad = CLASS[block] == FOREIGN
         second = (block & 0xC0) == 0x80
         after = np.zeros(len(block), bool)
@@ -127,7 +144,18 @@ class FragmentEncoder:
         bad |= after & ((block == 0x97) | (block == 0xB7))  # the two signs among the letters
         for a, b in self.special_pairs:
             bad[:-1] |= (block[:-1] == a) & (block[1:] == b)
-        return np.unique(row_of(np.flatnonzero(bad), offsets))
+        bad &= CLASS[block] != SPACE
+        places = np.flatnonzero(bad)
+        if not len(places):
+            return places, places
+        edge = np.zeros(len(block) + 1, bool)
+        edge[offsets] = True
+        space = CLASS[block] == SPACE
+        edge[:-1] |= space
+        edge[1:] |= space
+        edges = np.flatnonzero(edge)
+        word = np.unique(np.searchsorted(edges, places, side="right") - 1)
+        return edges[word], edges[word + 1]
 
     def scan(self, block: np.ndarray, offsets: np.ndarray) -> Fragments:
         """The fragments of all rows of a block; its rows must be covered by the byte rules."""
@@ -191,42 +219,60 @@ class FragmentEncoder:
     def encode_text(self, text: bytes) -> list[int]:
         return self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
-    def foreign_words(self, block: np.ndarray, bounds: np.ndarray, rows: list[int]) -> Fragments:
-        """White space always ends a token, so the library gets such rows word by word."""
+    def foreign_words(self, block: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Fragments:
+        """White space always ends a token, so the library gets such words one by one."""
         if len(self.foreign_known) > REMEMBERED:
             self.foreign_known = {}
-        starts, ends, owners, values = [], [], [], []
-        for row in rows:
-            base = int(bounds[row])
-            for word in re.finditer(rb"[^ \t\n\r]+", block[base : bounds[row + 1]].tobytes()):
-                value = self.foreign_known.get(word[0])
-                if value is None:
-                    value = self.foreign_known[word[0]] = self.render(self.encode_text(word[0]))
-                starts.append(base + word.start())
-                ends.append(base + word.end())
-                owners.append(row)
-                values.append(value)
-        return Fragments(*(np.array(x, np.int64) for x in (starts, ends, owners)), np.arange(len(values)), values)
+        values = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            word = block[a:b].tobytes()
+            value = self.foreign_known.get(word)
+            if value is None:
+                value = self.foreign_known[word] = self.render(self.encode_text(word))
+            values.append(value)
+        return Fragments(starts, ends, row_of(starts, bounds), np.arange(len(values)), values)
 
     def fragments(self, block: np.ndarray, bounds: np.ndarray) -> Fragments:
         """The fragments of all rows of a block, in order."""
         if not len(block):
             none = np.zeros(0, np.int64)
             return Fragments(none, none, none, none, [])
-        rows = self.foreign_rows(block, bounds) if self.covered else np.arange(len(bounds) - 1)
-        if not len(rows):
+        starts, ends = self.foreign_spans(block, bounds)
+        if not len(starts):
             return self.scan(block, bounds)
-        others = self.foreign_words(block, bounds, rows.tolist())
-        if len(rows) == len(bounds) - 1:
-            return others
-        block = block.copy()
-        for row in rows:
-            block[bounds[row] : bounds[row + 1]] = 0x20
-        own = self.scan(block, bounds)
+        others = self.foreign_words(block, bounds, starts, ends)
+        mark = np.zeros(len(block) + 1, np.int8)
+        mark[starts] += 1
+        mark[ends] -= 1
+        own = self.scan(np.where(np.cumsum(mark[:-1]) > 0, np.uint8(0x20), block), bounds)
         order = np.argsort(np.concatenate((own.start, others.start)), kind="stable")
         merged = [np.concatenate((getattr(own, k), getattr(others, k)))[order] for k in ("start", "end", "row")]
         return Fragments(*merged, np.concatenate((own.code, others.code + len(own.values)))[order], own.values + others.values)
 
+    def counted(self, text: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the fragments of a span: offsets, token counts, which follow white space, and where encoding may begin anew."""
+        found = self.fragments(text[begin:end], np.array([0, end - begin], np.int64))
+        counts = np.array(found.values, np.int64)[found.code] if len(found.code) else np.zeros(0, np.int64)
+        start = found.start + begin
+        return start, counts, (start > begin) & (CLASS[text[np.maximum(start - 1, 0)]] == SPACE), np.ones(len(start), bool)
+
+    def row_counts(self, block: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Tokens of each row of a block."""
+        found = self.fragments(block, bounds)
+        counts = np.array(found.values, np.int64)[found.code] if len(found.code) else np.zeros(0, np.int64)
+        return np.bincount(found.row, counts, len(bounds) - 1).astype(np.int64)
+
+    def decoder(self) -> Callable[[pa.ListArray], pa.Array]:
+        """Decodes lists of ids as the library does, special tokens included."""
+        whole = self.whole
+        if whole.decoder is not None:
+            return lambda ids: pa.array([whole.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
+        tokens = pa.array([whole.id_to_token(i) for i in range(whole.get_vocab_size())], pa.string())
+        return lambda ids: pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
+
+    #: Any text can be cut.
+    divisible = True
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list]:
         """For each row its rendered fragments in order. Rows over the block size are cut behind white space."""
         cuts, owner = [int(offsets[0])], []
@@ -250,6 +296,93 @@ class FragmentEncoder:
                     held = []
 
 
+class LibraryEncoder:
+    """Encodes texts by a tokenizer's own library: ``.json`` of any kind, and sentencepiece ``.model``.
+
+    A text is encoded whole unless the tokenizer is ``divisible``. Then a space between two ASCII letters or digits
+    parts tokens in any text: the split of byte-level BPE always begins a word there, and in a piece model no piece
+    holds a space mark behind another character, so no merge crosses it.
+    """
+
+    def __init__(self, path: str, render: Callable[[list[int]], object]):
+        self.render, self.pieces = render, path.endswith(".model")
+        if self.pieces:
+            import sentencepiece
+
+            self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            names = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
+            self.divisible = not any(MARK in x.lstrip(MARK) for x in names) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
+        else:
+            from tokenizers import Tokenizer
+
+            with open(path, encoding="utf-8") as file:
+                spec = json.load(file)
+            self.model = Tokenizer.from_file(path)
+            self.model.no_truncation()
+            self.model.no_padding()
+            split = spec.get("pre_tokenizer") or {}
+            plain = spec.get("normalizer") is None and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec["added_tokens"])
+            self.divisible = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+
+    def part(self, text: np.ndarray, begin: int, end: int) -> tuple[bytes, int]:
+        """The bytes to encode for a span, and how many were left out: the model's mark stands for a space cut off."""
+        skip = int(self.pieces and 0 < begin < end and text[begin] == 0x20)
+        return text[begin + skip : end].tobytes(), skip
+
+    def encode_text(self, text: bytes) -> list[int]:
+        if self.pieces:
+            return self.model.encode(text.decode("utf-8", "replace"))
+        return self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def counted(self, text: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of a span: offsets, ones, which begin at a parting space, and the same again."""
+        part, skip = self.part(text, begin, end)
+        if self.pieces:
+            start = np.array([x.begin for x in self.model.encode(part.decode("utf-8", "replace"), return_type="proto").pieces], np.int64)
+        else:
+            found = self.model.encode(part.decode("utf-8", "replace"), add_special_tokens=False).offsets
+            characters = np.flatnonzero((np.frombuffer(part, np.uint8) & 0xC0) != 0x80)
+            start = characters[np.array([a for a, _ in found], np.int64)] if found else np.zeros(0, np.int64)
+        start = start + begin + skip
+        start[:1] = begin
+        stable = (start > 0) & (start + 1 < len(text))
+        at = start[stable]
+        stable[stable] = (text[at] == 0x20) & ALNUM[text[at - 1]] & ALNUM[text[at + 1]] & (at > begin)
+        return start, np.ones(len(start), np.int64), stable, stable
+
+    def row_counts(self, block: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.array([len(self.encode_text(block[a:b].tobytes())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list]:
+        """For each row the rendered ids of its parts in order: the whole text, or parts of about BLOCK_BYTES."""
+        for row in range(len(offsets) - 1):
+            text, at, held = data[offsets[row] : offsets[row + 1]], 0, []
+            while at < len(text):
+                stop = len(text)
+                if self.divisible and stop - at > BLOCK_BYTES:
+                    stop = parting_space(text, at + BLOCK_BYTES // 2)
+                held.append(self.render(self.encode_text(self.part(text, at, stop)[0])))
+                at = stop
+            yield held
+
+    def decoder(self) -> Callable[[pa.ListArray], pa.Array]:
+        if self.pieces:
+            return lambda ids: pa.array([self.model.decode(x) for x in ids.to_pylist()], pa.string())
+        return lambda ids: pa.array([self.model.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
+
+
+def parting_space(text: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on of a space between two ASCII letters or digits; the end of the text if there is none."""
+    at = max(at, 1)
+    while at < len(text) - 1:
+        end = min(len(text) - 1, at + 65536)
+        found = np.flatnonzero((text[at:end] == 0x20) & ALNUM[text[at - 1 : end - 1]] & ALNUM[text[at + 1 : end + 1]])
+        if len(found):
+            return at + int(found[0])
+        at = end
+    return len(text)
+
+
 def behind_space(data: np.ndarray, at: int, stop: int) -> int:
     """The first place from ``at`` on that follows white space; ``stop`` if there is none."""
     while at < stop:
@@ -273,28 +406,30 @@ def id_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[tuple, FragmentEncoder] = {}
+_encoders: dict[tuple, FragmentEncoder | LibraryEncoder] = {}
 
 
-def worker_encoder(path: str, render: Callable[[list[int]], object]) -> FragmentEncoder:
+def worker_encoder(path: str, render: Callable[[list[int]], object]) -> FragmentEncoder | LibraryEncoder:
     """One encoder for each worker process, vocabulary and rendering."""
     key = (path, render.__module__, render.__qualname__)
     if key not in _encoders:
-        _encoders[key] = FragmentEncoder(path, render)
+        _encoders[key] = FragmentEncoder(path, render) if covered(path) else LibraryEncoder(path, render)
     return _encoders[key]
 
 
 def encode_documents(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every whole text, and the text that the ids decode to.
 
-    Returns one row per input row with ``id_column``, ``ids`` array<int> and ``decoded`` string. A null or
-    empty text has no ids and decodes to the empty text; repeated rows and null ids of documents stay rows.
+    Returns one row per input row: ``doc_id``, ``ids`` array<int> and ``decoded`` string. A null or empty text has no
+    ids and decodes to the empty text; repeated rows and null ids of documents stay rows; a text may be as long as a
+    row can be; other columns are left out; an empty table gives no rows. ``path`` names a tokenizers ``.json`` or a
+    sentencepiece ``.model``.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, id_bytes)
-        decode = token_joiner(encoder)
+        decode = encoder.decoder()
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
             held, lengths, at = [], [], 0
@@ -309,17 +444,3 @@ def encode_documents(documents: DataFrame, path: str, id_column: str = "doc_id",
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, decoded string")
-
-
-def token_joiner(encoder: FragmentEncoder) -> Callable[[pa.ListArray], pa.Array]:
-    """Decodes lists of ids as the library does, special tokens included."""
-    whole = encoder.whole
-    if whole.decoder is not None:
-        return lambda ids: pa.array([whole.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
-    tokens = pa.array([whole.id_to_token(i) for i in range(whole.get_vocab_size())], pa.string())
-
-    def join(ids: pa.ListArray) -> pa.Array:
-        words = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values))
-        return pc.binary_join(words, " ")
-
-    return join

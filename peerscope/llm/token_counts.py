@@ -1,9 +1,10 @@
 """Token counts by overlap resynchronisation.
 
 A huge document is encoded in overlapping chunks whose tokens carry their offsets. Two neighbouring chunks
-are spliced where both have a token that begins right behind white space at the same offset: white space
-always ends a token, so from such a place on both encodings are those of the whole text. Where an overlap
-holds no such place, it is widened until one is found or the next chunk is used up.
+are spliced where both have a token that begins at the same offset and at a place that parts tokens in any text:
+behind white space, or for other tokenizers at a space between letters or digits. From there on both encodings
+are those of the whole text. Where an overlap holds no such place, it is widened until one is found or the next
+chunk is used up. A tokenizer without proven places encodes texts whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, row_ranges, utf8_column
-from peerscope.llm.bpe import CLASS, SPACE, FragmentEncoder, worker_encoder
+from peerscope.llm.bpe import FragmentEncoder, LibraryEncoder, worker_encoder
 
 CHUNK_BYTES = 32 << 10
 OVERLAP_BYTES = 1 << 10
@@ -40,61 +41,53 @@ def on_characters(data: np.ndarray, at: int) -> int:
 
 
 class Counter:
-    def __init__(self, encoder: FragmentEncoder, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES):
+    def __init__(self, encoder: FragmentEncoder | LibraryEncoder, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES):
         self.encoder, self.chunk, self.overlap = encoder, chunk, overlap
 
-    def tokens(self, text: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offsets where the tokens' fragments of a span begin, their token counts, and which follow white space."""
-        found = self.encoder.fragments(text[begin:end], np.array([0, end - begin], np.int64))
-        counts = np.array(found.values, np.int64)[found.code] if len(found.code) else np.zeros(0, np.int64)
-        start = found.start + begin
-        return start, counts, (start > begin) & (CLASS[text[np.maximum(start - 1, 0)]] == SPACE)
-
     def spliced(self, text: np.ndarray) -> tuple[int, int, int]:
         """Tokens, chunks and widened overlaps of one text."""
         spans = [(on_characters(text, a), on_characters(text, b)) for a, b in chunk_spans(len(text), self.chunk, self.overlap)]
         total = widened = 0
         begin, end = spans[0]
-        start, counts, stable = self.tokens(text, begin, end)
+        now = self.encoder.counted(text, begin, end)
         left, at = 0, 1  # tokens that begin before ``left`` are counted
         while at < len(spans):
+            # where no place was found for long, a later chunk is tried: what is encoded again grows with what it adds
+            at = min(len(spans) - 1, at + (end - left) // (4 * self.chunk))
             begin, stop = spans[at]
-            new = self.tokens(text, begin, stop)
-            more = self.overlap
+            new = self.encoder.counted(text, begin, stop)
+            more = max(self.overlap, begin - end + self.overlap)
             while True:
+                start, _, stable, anew = now
                 # the last word of a span may go on behind it, so a place must lie before its end
                 common = np.intersect1d(start[stable & (start >= begin)], new[0][new[2] & (new[0] < end)])
                 if len(common) or end >= stop:
                     break
                 end, more, widened = on_characters(text, min(stop, end + more)), more * 2, widened + 1
-                kept = start < begin
+                kept = (start < begin) & anew & (start >= left)
                 base = int(start[kept][-1]) if kept.any() else left
-                again = self.tokens(text, base, end)
                 same = start < base
-                start, counts, stable = (np.concatenate((x[same], y)) for x, y in zip((start, counts, stable), again, strict=True))
+                now = tuple(np.concatenate((x[same], y)) for x, y in zip(now, self.encoder.counted(text, base, end), strict=True))
             if len(common):
                 place = int(common[0])
-                total += int(counts[(start >= left) & (start < place)].sum())
-                start, counts, stable = new
-                left, end = place, stop
+                total += int(now[1][(start >= left) & (start < place)].sum())
+                now, left, end = new, place, stop
             else:  # widened over the whole next chunk
                 end = stop
             at += 1
-        return total + int(counts[start >= left].sum()), len(spans), widened
+        return total + int(now[1][now[0] >= left].sum()), len(spans), widened
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Tokens, chunks and widened overlaps of every row."""
         for first, last in row_ranges(offsets):
             sizes = np.diff(offsets[first : last + 1])
-            long = sizes > self.chunk
+            long = (sizes > self.chunk) & self.encoder.divisible
             bounds = np.concatenate(([0], np.cumsum(np.where(long, 0, sizes))))
             if long.any():
                 block = np.concatenate([data[offsets[first + r] : offsets[first + r + 1]] for r in np.flatnonzero(~long)] or [np.zeros(0, np.uint8)])
             else:
                 block = data[offsets[first] : offsets[last]]
-            found = self.encoder.fragments(block, bounds)
-            counts = np.array(found.values, np.int64)[found.code] if len(found.code) else np.zeros(0, np.int64)
-            tokens = np.bincount(found.row, counts, last - first).astype(np.int64) if len(counts) else np.zeros(last - first, np.int64)
+            tokens = self.encoder.row_counts(block, bounds)
             for r in range(last - first):
                 yield self.spliced(data[offsets[first + r] : offsets[first + r + 1]]) if long[r] else (int(tokens[r]), 1, 0)
 
@@ -103,19 +96,13 @@ def count_tokens(documents: DataFrame, path: str, id_column: str = "doc_id", tex
     """Token counts of every whole text, as the library counts them without added special tokens.
 
     Returns one row per input row: ``doc_id``, ``n_bytes``, ``n_tokens``, ``n_chunks``, ``n_widened``. Null and
-    empty texts have no bytes and no tokens; repeated rows are counted each. ``path`` names a tokenizers
-    ``.json`` or a sentencepiece ``.model``; the latter is encoded whole, as its merges may cross any place.
+    empty texts have no bytes and no tokens; repeated rows and null ids are counted each; other columns are left out;
+    an empty table gives no rows. ``path`` names a tokenizers ``.json`` or a sentencepiece ``.model``.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path.endswith(".model"):
-            import sentencepiece
-
-            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda data, offsets: ((len(pieces.encode(data[a:b].tobytes().decode("utf-8", "replace"))), 1, 0) for a, b in zip(offsets[:-1], offsets[1:], strict=True))
-        else:
-            count = Counter(worker_encoder(path, len), chunk, overlap).count
+        count = Counter(worker_encoder(path, len), chunk, overlap).count
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
             out = np.array(list(count(data, offsets)), np.int64).reshape(-1, 3)

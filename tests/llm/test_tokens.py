@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from peerscope.llm import packing
-from peerscope.llm.bpe import FragmentEncoder, encode_documents
+from peerscope.llm.bpe import FragmentEncoder, LibraryEncoder, covered, encode_documents, worker_encoder
 from peerscope.llm.queries import op2_token_counts, op8_packing, op9_bpe, tokenizer_path
 from peerscope.llm.token_counts import Counter, count_tokens
 
@@ -41,7 +41,6 @@ def library(encoder, text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(texts, LATIN), max_size=8))
 def test_fragments_give_the_librarys_ids(encoder, rows):
-    assert encoder.covered
     got = [[i for part in row for i in part] for row in encoder.rows(*flat(rows))]
     assert got == [library(encoder, x) for x in rows]
 
@@ -75,13 +74,63 @@ def test_counts_of_odd_rows(spark, counter):
     assert count_tokens(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
-def test_sentencepiece_counts(spark):
-    import sentencepiece
+OTHERS = ["byte_bpe_50k.json", "piece_bpe_32k.model"]
+SPACED = PIECES + ODD + ["a b", "word 1 two", " x y", "\u2581", "\r\n", "   "]
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_other_tokenizers_give_the_librarys_result(spark, name):
+    path, draw = tokenizer_path(name), random.Random(7)
+    rows = [*ROWS, *((100 + k, "".join(draw.choice(SPACED) for _ in range(draw.randint(0, 80))), None) for k in range(60))]
+    whole = LibraryEncoder(path, tuple)
+    ids = [whole.encode_text((t or "").encode()) for _, t, _ in rows]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert ids == [model.encode(t or "") for _, t, _ in rows]
+        decoded = [model.decode(x) for x in ids]
+    else:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        assert ids == [model.encode(t or "", add_special_tokens=False).ids for _, t, _ in rows]
+        decoded = [model.decode(x, skip_special_tokens=False) for x in ids]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = count_tokens(frame, path, chunk=100, overlap=20).collect()
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == sorted((repr(i), len((t or "").encode()), len(x)) for (i, t, _), x in zip(rows, ids))
+    assert any(r.n_chunks > 1 for r in got)
+    got = encode_documents(frame, path).collect()
+    assert sorted((repr(r.doc_id), list(r.ids), r.decoded) for r in got) == sorted((repr(i), x, d) for (i, _, _), x, d in zip(rows, ids, decoded))
+    assert not covered(path) and covered(PATH) and whole.divisible
+
+
+@pytest.mark.parametrize("name", OTHERS)
+@pytest.mark.parametrize(("chunk", "overlap"), [(64, 8), (300, 40)])
+def test_spliced_counts_of_other_tokenizers(monkeypatch, name, chunk, overlap):
+    import peerscope.llm.bpe as bpe
 
-    path = tokenizer_path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = count_tokens(spark.createDataFrame(ROWS[:4], SCHEMA), path).collect()
-    assert sorted(r.n_tokens for r in got) == sorted(len(model.encode(t or "")) for _, t, _ in ROWS[:4])
+    encoder, draw = worker_encoder(tokenizer_path(name), len), random.Random(chunk)
+    rows = ["".join(draw.choice(kind) for _ in range(draw.randint(0, 900))) for kind in (SPACED, ["ab ", "c d", " e", "  "]) for _ in range(25)]
+    rows += ["x" * 1500 + " y " + "z" * 900, "", " " * 400, "日本語" * 300, "a b " * 200]
+    want = [len(encoder.encode_text(x.encode())) for x in rows]
+    assert [x[0] for x in Counter(encoder, chunk, overlap).count(*flat(rows))] == want
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 50)
+    assert [sum(x) for x in encoder.rows(*flat(rows))] == want
+
+
+def test_a_tokenizer_without_proven_places_encodes_whole(tmp_path):
+    import json
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["normalizer"] = {"type": "Strip", "strip_left": True, "strip_right": True}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    encoder = LibraryEncoder(str(path), len)
+    rows = [" a b c " * 50, "", "  x "]
+    assert not encoder.divisible
+    assert [x[:2] for x in Counter(encoder, 20, 5).count(*flat(rows))] == [(len(encoder.encode_text(x.encode())), 1) for x in rows]
 
 
 def test_round_trip_of_odd_rows(spark, encoder):
