@@ -16,19 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean
+from peerscope.staging import staged
 
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules of one broadcast trie. A longer list is split into several tries, applied one after the other.
+#: Rules of one broadcast trie; a longer list is split.
 RULES_PER_TRIE = 100_000
 #: A pickled trie over this size is split further before it is broadcast.
 TRIE_BYTES = 64 << 20
 
 
+def cleaned(rule: tuple[str, str, str]) -> tuple[str, str, str]:
+    """A rule as it is compared: the host's A-Z lower-cased, the path empty or with a slash in front."""
+    host, path, verdict = rule[0] or "", rule[1] or "", rule[2]
+    if verdict not in (ALLOW, BLOCK):
+        raise ValueError(f"a rule's verdict is {ALLOW} or {BLOCK}, not {verdict!r}")
+    return host.translate(str.maketrans(UPPER, LOWER)), path if path.startswith("/") or not path else "/" + path, verdict
+
+
 class UrlTrie:
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.root: dict = {}
-        for host, path, verdict in rules:
+        for host, path, verdict in map(cleaned, rules):
             node = self.root
             for label in reversed(host.split(".")) if host else ():
                 node = node.setdefault("labels", {}).setdefault(label, {})
@@ -89,24 +98,35 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = ALLOW, id_column: str = "page_id", url_column: str = "url", rules_per_trie: int = RULES_PER_TRIE) -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict``; no rule fits: null and ``default``.
 
-    A null or malformed URL has empty host and path, which only a rule with an empty host fits. Repeated rows
-    are judged each; an empty table gives no rows; an empty rule list gives ``default`` everywhere.
+    A null or malformed URL has empty host and path, which only a rule with an empty host fits. Repeated rows and null
+    ids are judged each; URLs may be of any length; other columns are left out; an empty table gives no rows; an empty
+    rule list gives ``default`` everywhere. A rule's host counts in lower case, and a path that lacks its first slash
+    gets one; a null host or path is empty.
     """
     host, path = host_and_path(F.col(url_column).cast("string"))
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
-    shared = [pages.sparkSession.sparkContext.broadcast(t) for t in tries(rules, rules_per_trie)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [x.value for x in shared]
-        rank = lambda rule: (len(rule[0].split(".")) if rule[0] else 0, len(rule[1]), rule[2] == BLOCK)
-        for batch in batches:
-            names, verdicts = [], []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = [x for t in own if (x := t.find(h, p)) is not None]
-                best = max(found, key=rank) if found else None
-                names.append(best and best[0] + best[1])
-                verdicts.append(best[2] if best else default)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"page_id {kind}, host string, path string, rule string, verdict string")
+    rank = lambda rule: (len(rule[0].split(".")) if rule[0] else 0, len(rule[1]), rule[2] == BLOCK)
+    every = tries(rules, rules_per_trie)
+    for number, trie in enumerate(every):
+        shared = pages.sparkSession.sparkContext.broadcast(trie)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = number == 0) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                best: list[tuple[str, str, str] | None] = [None] * batch.num_rows
+                if not first:
+                    best = [x and (x["host"], x["path"], x["verdict"]) for x in batch.column("best").to_pylist()]
+                for k, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                    found = own.find(h, p)
+                    if found is not None and (best[k] is None or rank(found) > rank(best[k])):
+                        best[k] = found
+                won = pa.array([x and dict(zip(("host", "path", "verdict"), x, strict=True)) for x in best], pa.struct([(k, pa.string()) for k in ("host", "path", "verdict")]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("page_id", "host", "path")), won], ["page_id", "host", "path", "best"])
+
+        rows = rows.mapInArrow(lean(run), f"page_id {kind}, host string, path string, best struct<host:string,path:string,verdict:string>")
+        if number + 1 < len(every):
+            rows = staged(rows, "judged")
+            shared.unpersist()
+    rule = F.concat("best.host", "best.path")  # null where none fits
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

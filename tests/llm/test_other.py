@@ -59,6 +59,16 @@ def test_urls_of_odd_rows(spark):
     assert {r.verdict for r in url_filter.judge_urls(frame, [], "block").collect()} == {"block"}
 
 
+def test_rules_are_cleaned(spark):
+    frame = spark.createDataFrame([(1, "http://a.example.com/en/x"), (2, "http://example.com/"), (3, None)], "page_id bigint, url string")
+    rules = [("EXAMPLE.com", "en/", "block"), (None, None, "allow")]
+    for more in (100_000, 1):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(frame, rules, "block", rules_per_trie=more).collect()}
+        assert got == {1: ("example.com/en/", "block"), 2: ("", "allow"), 3: ("", "allow")}
+    with pytest.raises(ValueError, match="verdict"):
+        url_filter.judge_urls(frame, [("a", "/", "deny")])
+
+
 # -- chats -------------------------------------------------------------------------------------------
 
 
