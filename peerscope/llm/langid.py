@@ -2,8 +2,9 @@
 
 Every language gets a codeword. For each bit of the code a binary logistic classifier over hashed character
 n-grams learns which languages have that bit set. A text's bit scores are decoded by the loss to each
-codeword, each bit weighted by how well its classifier does on that language; the nearest codeword wins, and
-a small distance to the runner-up marks the answer as ambiguous.
+codeword, each bit weighted by how well its classifier does on that language; the nearest codeword wins (of
+equally near ones the first in the order of names), and a small distance to the runner-up marks the answer as
+ambiguous. Every language that occurs is learned; codewords grow with the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.blocks import lean, row_ranges, utf8_column
+from peerscope.staging import staged
 
 BINS = 4096
 UNDETERMINED = "und"
-#: The bound of the training sample: documents of each language, in the order of a hash of their ids, and languages.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 500, 64
+#: The bound of the training sample, which the driver holds at 16 KB a document while it fits the classifiers: documents of
+#: each language, in the order of a hash of id and text, and in all. With more than 16 languages each has an equal share
+#: of the latter, one document at least.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 500, 8_000
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 #: Scores below this mark a text as ambiguous.
 AMBIGUOUS = 0.1
@@ -59,8 +63,8 @@ def codewords(languages: int) -> np.ndarray:
         splits = np.arange(1, 1 << (languages - 1))  # the last language never has the bit
         return np.where((splits[None, :] >> np.arange(languages)[:, None]) & 1, 1.0, -1.0)
     bits, random = 4 * int(np.ceil(np.log2(languages))) + 7, np.random.default_rng(1)
-    tries = [np.where(random.random((languages, bits)) < 0.5, 1.0, -1.0) for _ in range(200)]
-    apart = lambda code: ((code[:, None, :] != code[None, :, :]).sum(axis=2) + bits * np.eye(languages)).min()
+    tries = [np.where(random.random((languages, bits)) < 0.5, 1.0, -1.0) for _ in range(200 if languages <= 100 else 20)]
+    apart = lambda code: ((bits - code @ code.T) / 2 + bits * np.eye(languages)).min()
     return max((c for c in tries if (np.abs(c.sum(axis=0)) < languages).all()), key=apart)
 
 
@@ -143,33 +147,43 @@ def margin_of(model: Model, profile: np.ndarray, own: np.ndarray) -> float:
     return float(np.quantile(right, LOST, method="lower")) if len(right) else 0.0
 
 
-def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model | None:
-    """A model from labelled documents that are not held out; None without any."""
+def drawn(documents: DataFrame, per_language: int, most: int, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    """``id, lang, text, draw`` of the sample: labelled rows with a text that are not held out, copies of a row once."""
     labelled = documents.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & ~held_out(F.col(id_column)))
-    rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column)).alias("draw"))
+    rows = labelled.select(F.col(id_column).cast("string").alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
+    rows = rows.withColumn("draw", F.xxhash64("id", "text"))
+    counts = staged(rows.groupBy("lang").count(), "languages")
+    share = max(1, min(per_language, most // max(1, counts.count())))
     # the share of a language's rows that holds its sample with room to spare, so that few rows are ranked
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    near = rows.join(F.broadcast(counts), "lang").where(F.pmod("draw", F.lit(1 << 20)) * F.col("count") < (1 << 20) * 4 * per_language)
+    near = rows.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 20)) * F.col("count") < (1 << 20) * (4 * share + 64))
+    once = near.drop("count").dropDuplicates(["id", "lang", "draw"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    drawn = near.withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang").dropDuplicates(["id"])
-    drawn = drawn.orderBy("lang", "id").limit(per_language * MOST_LANGUAGES)
-    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    return once.withColumn("place", place).where(F.col("place") <= share).drop("place")
+
+
+def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = SAMPLE_ROWS) -> Model | None:
+    """A model from labelled documents that are not held out; None without any.
+
+    Rows without a label or a text teach nothing; rows that repeat an id are rows of their own, by their own label, and
+    rows alike in id, label and text count once. A null id is not held out. Texts are profiled whole, however long.
+    """
+    sample = drawn(documents, per_language, most, id_column, text_column, lang_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
             for first, last in parts(offsets):
                 found = [x.astype(np.float16).tobytes() for x in profiles(data, offsets[first : last + 1])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), batch.column("lang").slice(first, last - first), pa.array(found, pa.binary())], ["id", "lang", "profile"])
+                yield pa.RecordBatch.from_arrays([batch.column("draw").slice(first, last - first), batch.column("lang").slice(first, last - first), pa.array(found, pa.binary())], ["draw", "lang", "profile"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    sample = texts.select("id", "lang", "text").mapInArrow(lean(run), f"id {kind}, lang string, profile binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
-    if not sample.num_rows:
+    held = sample.select("draw", "lang", "text").mapInArrow(lean(run), "draw long, lang string, profile binary").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
+    if not held.num_rows:
         return None
-    names = sample["lang"].to_pylist()
+    names = held["lang"].to_pylist()
     languages = sorted(set(names))
-    profile = np.stack([np.frombuffer(x.as_py(), np.float16) for x in sample["profile"]]).astype(np.float32)
-    return fit(profile, np.array([languages.index(x) for x in names]), languages)
+    number = {x: k for k, x in enumerate(languages)}
+    profile = np.stack([np.frombuffer(x.as_py(), np.float16) for x in held["profile"]]).astype(np.float32)
+    return fit(profile, np.array([number[x] for x in names]), languages)
 
 
 def has_letter(text: bytes) -> bool:
@@ -180,7 +194,7 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
     """One row per input row: ``doc_id, held_out, lang_pred, score, ambiguous``.
 
     A null, empty or letterless text is ``und`` with score 0, as is every text without a model. Repeated rows get
-    the same answer each.
+    the same answer each; texts count whole, however long; other columns are left out; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # BINS weights for each bit, whatever the input
     rows = documents.select(F.col(id_column).alias("doc_id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("text"))
@@ -210,8 +224,9 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
 def keep_identified(documents: DataFrame, least_score: float = 0.0, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """``documents`` without those whose language can't be told.
 
-    These are texts without letters, with or without a model, and those whose score is below ``least_score``, or
-    below the model's margin where that is less.
+    These are null, empty and letterless texts, with or without a model, and those whose score is below
+    ``least_score``, or below the model's margin where that is less. Without a labelled row nothing else goes. Rows that
+    repeat an id are judged each; other columns may have any name.
     """
     model = train(documents, id_column=id_column, text_column=text_column, lang_column=lang_column)
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -164,6 +165,77 @@ def test_held_out_accuracy(spark):
     assert sum(truth[r.doc_id] == r.lang_pred for r in own) >= 0.97 * len(own)
 
 
+def brute_profile(text):
+    """Shares of hashed n-grams of 1 to 3 bytes, counted one by one."""
+    own = bytearray()
+    data = text.encode()
+    for k, b in enumerate(data):
+        if b >= 0x80:
+            own.append(b + 0x20 if b <= 0x9E and k and data[k - 1] == 0xC3 else b)
+        else:
+            own.append(b | 0x20 if chr(b).isalpha() else 0x20)
+    counts = {}
+    for size in (1, 2, 3):
+        for k in range(len(own) - size + 1):
+            gram = own[k : k + size]
+            if gram.strip(b" "):
+                mix = size * 0x27D4EB2F
+                for b, m in zip(gram, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)):
+                    mix += b * m
+                mix &= 0xFFFFFFFF
+                mix ^= mix >> 15
+                mix = mix * 0x2C1B3C6D & 0xFFFFFFFF
+                counts[mix >> 20] = counts.get(mix >> 20, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    return {k: n**0.5 / norm for k, n in counts.items()}
+
+
+def brute_language(model, text):
+    """The decoder's answer, bit by bit and language by language."""
+    own, total = brute_profile(text), []
+    margins = [model.bias[j] + sum(v * model.weights[k, j] for k, v in own.items()) for j in range(len(model.bias))]
+    for word, trust in zip(model.code, model.trust):
+        total.append(sum(t * math.log1p(math.exp(-c * m)) for c, t, m in zip(word, trust, margins)))
+    best = min(range(len(total)), key=lambda k: (total[k], k))
+    return model.languages[best], 1 - sorted(total)[0] / sorted(total)[1]
+
+
+def test_predictions_equal_brute_force(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(documents)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in QUERIES["op7_language_id"](spark, DATA).collect():
+        lang, score = brute_language(model, texts[r.doc_id])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(r.score - score) < 1e-4 and (r.lang_pred == lang or score < 1e-4)
+
+
+def test_only_labelled_rows_that_are_not_held_out_teach(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    base = documents.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").limit(60)
+    first = base.where("lang is not null").first()
+    held = next(k for k in range(10**6, 10**6 + 99) if zlib.crc32(str(k).encode()) % 5 == 0)
+    odd = [(held, "zzz qqq xxx", "en"), (first.doc_id, "zzz qqq xxx", None), (10**6 + 500, None, "de"), (first.doc_id, first.text, first.lang)]
+    a, b = (langid.train(x) for x in (base, base.union(spark.createDataFrame(odd, documents.schema)).repartition(3)))
+    assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
+    own = spark.createDataFrame([(first.doc_id, "zzz qqq xxx " * 9, "own")], documents.schema)
+    assert "own" in langid.train(base.union(own)).languages  # by its own label, though the id repeats
+
+
+def test_more_than_64_languages(spark):
+    draw = random.Random(4)
+    words = {f"l{k:02}": ["".join(draw.choices("abcdefghijklmnop", k=3)) + chr(0x61 + k % 26) * 3 + chr(0x61 + k // 26) * 2 for _ in range(12)] for k in range(70)}
+    rows = [(n, " ".join(draw.choices(own, k=40)), lang) for n, (lang, own) in enumerate((x for x in words.items() for _ in range(12)))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(frame)
+    assert len(model.languages) == 70
+    truth = {k: lang for k, _, lang in rows}
+    got = langid.identify(frame, model).collect()
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)
+    few = langid.drawn(frame, 500, 140, "doc_id", "text", "lang").groupBy("lang").count().collect()
+    assert len(few) == 70 and all(r["count"] == 2 for r in few)
+
+
 def test_languages_of_odd_rows(spark):
     base = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(9001, None, "en"), (9002, "", None), (9003, "123 !? \n", "fr"), (9004, "日本", None), (None, "the and of", "en")], base.schema)
