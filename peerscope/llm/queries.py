@@ -75,19 +75,23 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_near_
 
 ORACLE_SQL = {
     "op4_chat_formatting": """
-WITH placed AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place
-  FROM conversations),
+WITH numbered AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+placed AS (
+  SELECT conv_id, alone, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn, role, text) AS place
+  FROM numbered),
 whole AS (
-  SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY place) AS turns,
+  SELECT conv_id, alone, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY place) AS turns,
          string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
-  FROM placed GROUP BY conv_id)
-SELECT conv_id, n_turns, rendered FROM whole a
+  FROM placed GROUP BY conv_id, alone),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, alone) AS place FROM whole)
+SELECT conv_id, n_turns, rendered FROM ordered a
 WHERE NOT EXISTS (
-  SELECT 1 FROM whole b
+  SELECT 1 FROM ordered b
   WHERE b.turns[1] = a.turns[1] AND b.n_turns >= a.n_turns AND b.turns[1:a.n_turns] = a.turns
-    AND (b.n_turns > a.n_turns OR b.conv_id < a.conv_id))
+    AND (b.n_turns > a.n_turns OR b.place < a.place))
 """,
     "op5_url_filters": """
 WITH cut AS (

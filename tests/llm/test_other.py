@@ -83,7 +83,23 @@ def test_snapshots_collapse(spark):
     assert got[2] == (4, "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in talk))
     assert chat.format_chats(frame.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, 0, "user", "a"), (None, None, "user", "b"), (3, 1, "u", "x"), (3, 1, "u", "x")], "conv_id bigint, turn bigint, role string, text string")
-    assert {r.conv_id: r.n_turns for r in chat.format_chats(odd).collect()} == {None: 2, 3: 2}
+    assert sorted((repr(r.conv_id), r.n_turns) for r in chat.format_chats(odd).collect()) == [("3", 2), ("None", 1), ("None", 1)]
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 5, "user", "a"), (None, 1, "user", "b"), (None, 1, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "user", "x"), (2, 0, "user", "b"), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted((repr(r.conv_id), r.rendered) for r in chat.format_chats(frame).collect())
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    # a is there twice, b also under an id, hi begins a longer one
+    want = sorted([("None", line("user", "a")), ("None", line("user", "b")), ("None", line("", "")), ("1", line("user", "hi") + line("user", "x"))])
+    assert got == want
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted((repr(r[0]), r[2]) for r in con.execute(ORACLE_SQL["op4_chat_formatting"]).fetchall()) == want
 
 
 # -- fingerprints ------------------------------------------------------------------------------------
