@@ -74,6 +74,46 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_near_dedup, op4_chat_formatting, op5_url_filters, op6_exact_dedup, op7_language_id, op8_packing, op9_bpe, op10_fingerprints)}
 
 ORACLE_SQL = {
+    "op1_suffix_dedup": """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 500)) AS base FROM bytes),
+blocks AS (SELECT doc_id, base, substr(h, 2 * base + 1, 1198) AS part FROM parts),
+starts AS (SELECT doc_id, base, part, unnest(range(len(part) // 2 - 99)) AS k FROM blocks),
+strings AS (SELECT doc_id, base + k AS p, substr(part, 2 * k + 1, 200) AS string FROM starts),
+again AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY string ORDER BY doc_id, p) AS place FROM strings)
+  WHERE place > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+  FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, h, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_byte
+  FROM (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, len(h) // 2, NULL FROM bytes) JOIN bytes USING (doc_id))
+SELECT doc_id, CAST(any_value(len(h) // 2) AS BIGINT) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(b) AS n_spans,
+       sha256(unhex(string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a))) AS kept_sha256
+FROM cuts GROUP BY doc_id
+""",
+    "op3_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(len(w) - 3), lambda k: array_to_string(w[k + 1:k + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, near.b FROM reached r JOIN near ON near.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+""",
     "op4_chat_formatting": """
 WITH numbered AS (
   SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),

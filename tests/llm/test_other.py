@@ -13,7 +13,7 @@ from peerscope.llm import chat, fingerprints, langid, url_filter
 from peerscope.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 
 
-@pytest.mark.parametrize("name", ["op4_chat_formatting", "op5_url_filters"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     assert as_rows(QUERIES[name](spark, DATA).toPandas()) == as_rows(duck.execute(ORACLE_SQL[name]).df())
 
