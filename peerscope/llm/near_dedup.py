@@ -2,7 +2,8 @@
 
 A document's set are its distinct word shingles. The sketch has REGISTERS buckets; each keeps of the smallest
 hash that falls into it the number of leading zeros and the first mantissa bits, packed into 16 bits, or 0 if
-it is empty. Bands of registers give keys; documents with a key in common are candidates. The share of equal
+it is empty. Bands of registers give keys, with wider registers where a band's others are empty; documents with a
+key in common are candidates. The share of equal
 registers, less the collisions expected by chance, estimates the Jaccard similarity; what may reach the
 threshold is verified on the full sets. Links make components.
 
@@ -33,6 +34,8 @@ from peerscope.staging import staged
 REGISTERS, BANDS = 128, 32
 MANTISSA = 10
 VALUE_BITS = 64 - 7  # what is left of a hash after the bucket's number
+#: Mantissa bits of a band's registers in its key, by how many of them are filled: 64 bits in all, 6 of each for the zeros.
+BAND_MANTISSA = np.array([0, 51, 26, 15, MANTISSA])
 #: A sketch estimate this far below the threshold rules a pair out; over five standard deviations at 0.8.
 MARGIN = 0.2
 #: Members of a block; a bucket of up to two blocks is compared in one piece.
@@ -89,30 +92,43 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return np.concatenate(held or [np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The registers of each set."""
+def minima(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set the smallest hash of each bucket, its first 53 bits; 0 where the bucket is empty."""
     rows = len(bounds) - 1
-    out = np.zeros((rows, REGISTERS), np.uint16)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    bucket = (sets >> np.uint64(VALUE_BITS)).astype(np.int64)
-    cell = row * REGISTERS + bucket
+    out = np.zeros((rows, REGISTERS), np.uint64)
+    cell = np.repeat(np.arange(rows), np.diff(bounds)) * REGISTERS + (sets >> np.uint64(VALUE_BITS)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
     value = (sets[first] & np.uint64((1 << VALUE_BITS) - 1)) >> np.uint64(VALUE_BITS - 53)
-    exponent = np.frexp(value.astype(np.float64))[1]  # exact: 53 bits
-    zeros = 53 - exponent
-    shift = np.maximum(exponent - 1 - MANTISSA, 0).astype(np.uint64)
-    bits = (value >> shift) & np.uint64((1 << MANTISSA) - 1)
-    out.ravel()[cell[first]] = ((zeros + 1) << MANTISSA) | bits.astype(np.int64)
+    out.ravel()[cell[first]] = np.maximum(value, np.uint64(1))
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A key for each band; 0 where all of a band's registers are empty."""
+def compressed(values: np.ndarray, mantissa: np.ndarray | int) -> np.ndarray:
+    """Leading zeros, plus one, and that many bits behind the first one of each value; 0 for an empty bucket."""
+    exponent = np.frexp(values.astype(np.float64))[1]  # exact: 53 bits
+    keep = np.asarray(mantissa, np.int64)
+    shift = np.maximum(exponent - 1 - keep, 0).astype(np.uint64)
+    bits = (values >> shift) & ((np.uint64(1) << keep.astype(np.uint64)) - np.uint64(1))
+    return np.where(values == 0, np.uint64(0), ((54 - exponent).astype(np.uint64) << keep.astype(np.uint64)) | bits)
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """The 16-bit registers of each row of minima."""
+    return compressed(least, MANTISSA).astype(np.uint16)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of minima; 0 where all of a band's buckets are empty.
+
+    A band has 64 bits for its registers. Where some are empty, as in small sets, the others are wider, so that sets
+    without a common shingle don't share keys, however few registers they fill.
+    """
     width = REGISTERS // BANDS
-    grouped = registers.reshape(len(registers), BANDS, width).astype(np.uint64)
-    packed = sum(grouped[:, :, k] << np.uint64(16 * k) for k in range(width))
-    keys = mixed(packed ^ STEPS[:BANDS][None, :])
-    return np.where(packed == 0, 0, keys).view(np.int64)
+    grouped = least.reshape(len(least), BANDS, width)
+    filled = (grouped != 0).sum(axis=2)
+    packed = compressed(grouped, BAND_MANTISSA[filled][:, :, None])
+    keys = mixed((mixed(packed) * STEPS[48 : 48 + width]).sum(axis=2, dtype=np.uint64) ^ STEPS[:BANDS])
+    return np.where(filled == 0, 0, keys).view(np.int64)
 
 
 def cell_chances(size: float) -> np.ndarray:
@@ -153,11 +169,12 @@ def summaries(documents: DataFrame, words: int, id_column: str, text_column: str
             for first in range(0, batch.num_rows, 512):
                 last = min(batch.num_rows, first + 512)
                 sets, bounds = shingle_sets(data, offsets[first : last + 1], words)
-                registers = sketches(sets, bounds)
+                least = minima(sets, bounds)
+                registers = sketches(least)
                 # equal sets have equal sums of hashes, and equal sums of remixed hashes
                 sums = [np.concatenate(([0], np.cumsum(x, dtype=np.uint64))) for x in (mixed(sets ^ STEPS[40]), mixed(sets ^ STEPS[41]))]
                 digest = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], axis=1)
-                keys = band_keys(registers)
+                keys = band_keys(least)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(first, last - first),
@@ -273,7 +290,11 @@ class Members:
         return (range(a, b) for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True))
 
     def similar(self, k: int, end: int) -> np.ndarray:
-        """Later members of other components that may reach the threshold; a pair counts in its first common band only."""
+        """Later members of other components that may reach the threshold; a pair counts in its first common full band only.
+
+        Bands with an empty register have wider registers in their keys, so only of full ones do equal registers tell
+        that the pair meets there.
+        """
         later = slice(k + 1, end)
         other = np.arange(k + 1, end)[(self.labels[later] != self.labels[k]) & (self.sides[later] == PARTNER[self.sides[k]])]
         other = other[100 * np.minimum(self.sizes[other], self.sizes[k]) >= self.percent * np.maximum(self.sizes[other], self.sizes[k])]
@@ -281,8 +302,8 @@ class Members:
             return other
         theirs, own = self.registers[other], self.registers[k]
         near = estimated(theirs, own[None, :], self.sizes[other], np.full(len(other), self.sizes[k])) >= self.least
-        same = (theirs == own).reshape(len(other), BANDS, -1).all(axis=2) & (own.reshape(BANDS, -1) != 0).any(axis=1)
-        near &= same.argmax(axis=1) == self.bands[k]
+        same = (theirs == own).reshape(len(other), BANDS, -1).all(axis=2) & (own.reshape(BANDS, -1) != 0).all(axis=1)
+        near &= ~same.any(axis=1) | (same.argmax(axis=1) == self.bands[k])
         return other[near]
 
 

@@ -257,22 +257,30 @@ def test_recall_of_the_bands(spark):
         both = size * 4 // 5  # the smaller set is part of the larger one: 80 %
         pools = [np.unique(draw.integers(0, 1 << 63, 2 * size, dtype=np.uint64) * np.uint64(2))[:size] for _ in range(400)]
         parts = [x for pool in pools for x in (pool, np.sort(draw.permutation(pool)[:both]))]
-        keys = near_dedup.band_keys(near_dedup.sketches(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))))
+        keys = near_dedup.band_keys(near_dedup.minima(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))))
         missed += int((~((keys[::2] == keys[1::2]) & (keys[::2] != 0)).any(axis=1)).sum())
     assert missed == 0
 
 
+def test_small_unrelated_sets_share_no_key(spark):
+    draw = np.random.default_rng(6)
+    sets = [np.sort(draw.integers(0, 1 << 64, draw.integers(1, 12), dtype=np.uint64)) for _ in range(20_000)]
+    keys = near_dedup.band_keys(near_dedup.minima(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))))
+    filled = keys[keys != 0]
+    assert len(np.unique(filled)) == len(filled)
+
+
 def test_estimates_are_close(spark):
     draw = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
         size, both = 4000, int(4000 * share)
         pool = np.sort(draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
         sets = [np.sort(pool[: (size + both) // 2]), np.sort(pool[(size - both) // 2 :])]
-        registers = near_dedup.sketches(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+        registers = near_dedup.sketches(near_dedup.minima(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])))
         real = len(np.intersect1d(*sets)) / size
         guess = near_dedup.estimated(registers[:1], registers[1:], np.array([len(sets[0])]), np.array([len(sets[1])]))[0]
         assert abs(guess - real) < 0.15
-    apart = near_dedup.sketches(np.sort(draw.integers(0, 1 << 63, 2000, dtype=np.uint64)), np.array([0, 1000, 2000]))
+    apart = near_dedup.sketches(near_dedup.minima(np.concatenate([np.sort(draw.integers(0, 1 << 63, 1000, dtype=np.uint64)) for _ in range(2)]), np.array([0, 1000, 2000])))
     assert near_dedup.estimated(apart[:1], apart[1:], np.array([1000]), np.array([1000]))[0] < 0.1
 
 
