@@ -12,21 +12,32 @@ from pyspark.sql import functions as F
 
 #: Cut intervals may be this many times as many as the intervals.
 BLOW_UP = 4
-#: Rows of a dimension up to which it is broadcast; above, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes of a dimension up to which it is broadcast; above, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 #: Addresses of a piece of a range that is exploded.
 PIECE = 1 << 16
 DARK, RX_SRV, TX_SRV, UNK_S2S = "DARK", "RX_SRV", "TX_SRV", "UNK_S2S"
 
 
-def bucket_bits(ranges: DataFrame, blow_up: int = BLOW_UP) -> tuple[int, int]:
-    """Bits of the bucket width, and the number of cut intervals."""
+def row_bytes(frame: DataFrame) -> Column:
+    """An upper estimate of a row's bytes in a hash table: 16 for each column and 32 for the row, and its texts twice."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in frame.schema if f.dataType.typeName() == "string"]
+    return sum((2 * t for t in texts), F.lit(32 + 16 * len(frame.columns)))
+
+
+def measured(dimension: DataFrame) -> int:
+    """The bytes of a dimension, counted."""
+    return int(dimension.agg(F.coalesce(F.sum(row_bytes(dimension)), F.lit(0))).first()[0])
+
+
+def bucket_bits(ranges: DataFrame, blow_up: int = BLOW_UP) -> tuple[int, int, int]:
+    """Bits of the bucket width, the number of cut intervals, and about how many bytes they have."""
     widths = [F.sum(F.shiftright("ip_end", k) - F.shiftright("ip_start", k) + 1).alias(f"k{k}") for k in range(33)]
-    sums = ranges.agg(F.count(F.lit(1)).alias("n"), *widths).first()
+    sums = ranges.agg(F.count(F.lit(1)).alias("n"), F.max(row_bytes(ranges)).alias("widest"), *widths).first()
     if not sums["n"]:
-        return 32, 0
+        return 32, 0, 0
     bits = next((k for k in range(33) if sums[f"k{k}"] <= blow_up * sums["n"]), 32)
-    return bits, int(sums[f"k{bits}"])
+    return bits, int(sums[f"k{bits}"]), int(sums[f"k{bits}"] * sums["widest"])
 
 
 def exploded(ranges: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -44,19 +55,19 @@ def exploded(ranges: DataFrame, piece: int = PIECE) -> DataFrame:
     return dealt.select(F.explode(F.sequence("__low", "__high")).alias("ip"), *rest)
 
 
-def sized(dimension: DataFrame, rows: int) -> DataFrame:
-    """``dimension`` marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(dimension) if rows <= BROADCAST_ROWS else dimension
+def sized(dimension: DataFrame, size: int | None = None) -> DataFrame:
+    """``dimension`` marked for broadcast if its counted bytes are few enough."""
+    return F.broadcast(dimension) if (measured(dimension) if size is None else size) <= BROADCAST_BYTES else dimension
 
 
-def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left", keys: tuple[str, ...] = (), prefix: str = "", width: tuple[int, int] | None = None) -> DataFrame:
+def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left", keys: tuple[str, ...] = (), prefix: str = "", width: tuple[int, int, int] | None = None) -> DataFrame:
     """``probe`` with the columns of the interval that holds the address in column ``ip``.
 
     ``keys`` are further columns that must be equal, as the month of a temporal join. ``prefix`` goes before the
     names of the added columns. ``width`` is the result of ``bucket_bits`` where it is known. A null address has
     no interval.
     """
-    bits, rows = width or bucket_bits(ranges)
+    bits, _, size = width or bucket_bits(ranges)
     added = [c for c in ranges.columns if c not in ("ip_start", "ip_end", *keys)]
     cut = ranges.select(
         F.col("ip_start").alias("__start"), F.col("ip_end").alias("__end"), *(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c).alias(prefix + c) for c in added),
@@ -65,7 +76,7 @@ def interval_join(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left
     match = (F.shiftright(ip, bits) == F.col("__bucket")) & F.col(ip).between(F.col("__start"), F.col("__end"))
     for k in keys:
         match &= F.col(k) == F.col(f"__{k}")
-    return probe.join(sized(cut, rows), match, how).drop("__start", "__end", "__bucket", *(f"__{k}" for k in keys))
+    return probe.join(sized(cut, size), match, how).drop("__start", "__end", "__bucket", *(f"__{k}" for k in keys))
 
 
 def interval_pair_join(flows: DataFrame, ranges: DataFrame, how: str = "left", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -76,8 +87,8 @@ def interval_pair_join(flows: DataFrame, ranges: DataFrame, how: str = "left", k
 
 
 def interval_join_between(probe: DataFrame, ranges: DataFrame, ip: str, how: str = "left") -> DataFrame:
-    """The same result as a plain BETWEEN join, for small dimensions and as a check."""
-    return probe.join(F.broadcast(ranges), F.col(ip).between(F.col("ip_start"), F.col("ip_end")), how).drop("ip_start", "ip_end")
+    """The same result as a plain BETWEEN join, a nested loop, for small dimensions and as a check."""
+    return probe.join(sized(ranges), F.col(ip).between(F.col("ip_start"), F.col("ip_end")), how).drop("ip_start", "ip_end")
 
 
 def name_join(probe: DataFrame, names: DataFrame, ip: str, how: str = "left", keys: tuple[str, ...] = (), as_name: str = "dnsname") -> DataFrame:
@@ -89,6 +100,16 @@ def name_join(probe: DataFrame, names: DataFrame, ip: str, how: str = "left", ke
     return probe.join(side, match, how).drop("__ip", *(f"__{k}" for k in keys))
 
 
+def partition_join(counts: DataFrame, names: DataFrame, members: DataFrame, part: str, ip: str) -> DataFrame:
+    """``counts`` of addresses by ``part`` with their names, each part joined with the names of its own addresses only.
+
+    ``members`` has the addresses ``intip`` of each part. Both sides are dealt by part and address, so that neither a
+    part's names nor a name that many parts need is held whole by a task.
+    """
+    own = name_join(members, names, "intip", "inner").select(F.col(part).alias("__part"), F.col("intip").alias("__ip"), "dnsname")
+    return counts.join(own, (F.col(part) == F.col("__part")) & (F.col(ip) == F.col("__ip")), "left").drop("__part", "__ip")
+
+
 def counted(frame: DataFrame, *columns: str) -> DataFrame:
     """Rows per combination of columns, as ``n``."""
     return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
@@ -112,8 +133,8 @@ def server_class(source_known: Column, target_known: Column) -> Column:
 def classified(flows: DataFrame, servers: DataFrame) -> DataFrame:
     """``flows`` with ``server_class``, by the numbers of the addresses."""
     known = servers.select("intip").dropna().distinct()
-    rows = known.count()
-    source = sized(known.select(F.col("intip").alias("__from")), rows)
-    target = sized(known.select(F.col("intip").alias("__to")), rows)
+    size = measured(known)
+    source = sized(known.select(F.col("intip").alias("__from")), size)
+    target = sized(known.select(F.col("intip").alias("__to")), size)
     joined = flows.join(source, F.col("intipfrom") == F.col("__from"), "left").join(target, F.col("intipto") == F.col("__to"), "left")
     return joined.withColumn("server_class", server_class(F.col("__from").isNotNull(), F.col("__to").isNotNull())).drop("__from", "__to")

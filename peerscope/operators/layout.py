@@ -17,12 +17,15 @@ SAMPLE_POINTS = 200_000
 #: Leaves up to which a tree becomes nested conditions instead of an Arrow function.
 CONDITION_LEAVES = 64
 GRID_SIDE = 148
+DAY = 86_400_000.0
+#: Fixed values of the draw: a prime, and a factor for each of a row's coordinates in turn.
+DRAWS, FACTORS = 1_000_003, (65_599, 31, 7)
 TREE_COLUMNS = ("intipfrom", "intipto", "flow_date")
 
 
 def coordinate(column: str) -> Column:
-    """A column as the number the tree compares: dates as milliseconds since 1970."""
-    return F.unix_millis(F.col(column).cast("timestamp")).cast("double") if column.endswith("date") else F.col(column).cast("double")
+    """A column as the number the tree compares: dates as milliseconds since 1970, whatever the session's time zone."""
+    return F.unix_date(F.col(column).cast("date")).cast("double") * DAY if column.endswith("date") else F.col(column).cast("double")
 
 
 def even_points(side: int = GRID_SIDE) -> list[int]:
@@ -30,8 +33,13 @@ def even_points(side: int = GRID_SIDE) -> list[int]:
     return [(k + 1) * (1 << 32) // side for k in range(side - 1)]
 
 
-def grid_index(number: Column, points: list[int]) -> Column:
-    """How many split points lie below a number: an address equal to a point belongs to the part that ends there."""
+def grid_index(number: Column, points: list[int] | None = None, side: int = GRID_SIDE) -> Column:
+    """How many split points lie below a number: an address equal to a point belongs to the part that ends there.
+
+    Without ``points`` they are the even ones, and the answer is arithmetic.
+    """
+    if points is None:
+        return F.greatest(F.lit(0), F.least(F.lit(side - 1), F.shiftright(number * side + ((1 << 32) - 1), 32) - 1)).cast("long")
     edges = np.array(points, np.int64)
 
     @F.pandas_udf("long")
@@ -43,9 +51,9 @@ def grid_index(number: Column, points: list[int]) -> Column:
 
 def with_cell(flows: DataFrame, points: list[int] | None = None) -> DataFrame:
     """``flows`` with ``cell``: both addresses, smaller first, on a grid. Either direction of a pair has one cell."""
-    points = even_points() if points is None else points
     low, high = F.least("intipfrom", "intipto"), F.greatest("intipfrom", "intipto")
-    return flows.withColumn("cell", grid_index(low, points) * (len(points) + 1) + grid_index(high, points))
+    side = GRID_SIDE if points is None else len(points) + 1
+    return flows.withColumn("cell", grid_index(low, points) * side + grid_index(high, points))
 
 
 def unique_addresses(flows: DataFrame, part: str) -> DataFrame:
@@ -53,12 +61,33 @@ def unique_addresses(flows: DataFrame, part: str) -> DataFrame:
     return flows.select(part, F.explode(F.array("intipfrom", "intipto")).alias("intip")).distinct()
 
 
+def write_unique_addresses(flows: DataFrame, path: str, part: str) -> None:
+    """The same as one folder per part, in the order of addresses. Ranges of them are dealt out, so a large part becomes several files."""
+    ordered = unique_addresses(flows, part).repartitionByRange(part, "intip").sortWithinPartitions(part, "intip")
+    ordered.write.mode("overwrite").partitionBy(part).parquet(path)
+
+
+def draw(columns: tuple[str, ...] = TREE_COLUMNS) -> Column:
+    """A number from 0 to DRAWS - 1 by which rows are sampled; rows alike in these columns share it."""
+    number = lambda c: F.unix_date(F.col(c).cast("date")).cast("long") if c.endswith("date") else F.col(c).cast("long")
+    total = F.lit(0).cast("long")
+    for k, c in enumerate(columns):
+        total = total + F.pmod(number(c), F.lit(DRAWS)) * FACTORS[k % len(FACTORS)]
+    return F.pmod(total, F.lit(DRAWS))
+
+
+def sampled(flows: DataFrame, share: float, columns: tuple[str, ...] = TREE_COLUMNS) -> DataFrame:
+    """About that share of the rows, the same in every run."""
+    return flows.where(draw(columns) < int(DRAWS * share))
+
+
 def sampled_points(flows: DataFrame, columns: tuple[str, ...], most: int = SAMPLE_POINTS) -> np.ndarray:
-    """Coordinates of a sample by row hash, at most about ``most`` rows, the same in every run."""
-    points = flows.select(*(coordinate(c).alias(c) for c in columns), F.xxhash64(*flows.columns).alias("__draw")).dropna()
-    rows = points.count()
+    """Coordinates of a sample, at most about ``most`` rows, in the order of their draws, the same in every run."""
+    known = flows.dropna(subset=list(columns))
+    rows = known.count()
     if rows > most:
-        points = points.where(F.pmod("__draw", F.lit(1 << 30)) < int((1 << 30) * most / rows))
+        known = sampled(known, most / rows, columns)
+    points = known.select(*(coordinate(c).alias(c) for c in columns), draw(columns).alias("__draw"))
     return points.orderBy("__draw", *columns).limit(2 * most).drop("__draw").toPandas().to_numpy(np.float64)
 
 

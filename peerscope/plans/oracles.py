@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from peerscope.operators.layout import GRID_SIDE
-from peerscope.plans.queries import BOX, NEIGHBOURS, TOP, TREE, WEEK
+from peerscope.operators.layout import DRAWS, FACTORS, GRID_SIDE
+from peerscope.plans.queries import BOX, IP_RANGE, NEIGHBOURS, TOP, TREE, WEEK
 from peerscope.sources.views import with_views
 
 N = "count(*) AS n"
@@ -13,6 +13,10 @@ FROM_DNS, TO_DNS = "LEFT JOIN {dns} a ON f.intipfrom = a.intip", "LEFT JOIN {dns
 NAMES = "coalesce(a.{0}, 'null') || ' ' || coalesce(b.{0}, 'null') AS names"
 IN_WEEK = f"f.flow_date BETWEEN DATE '{WEEK[0]}' AND DATE '{WEEK[1]}'"
 
+IN_BOX = f"""f.intipfrom BETWEEN {BOX.low['intipfrom']} AND {BOX.high['intipfrom']} AND f.intipto <= {BOX.high['intipto']}
+  AND f.flow_date BETWEEN DATE '{BOX.low['flow_date']}' AND DATE '{BOX.high['flow_date']}'"""
+DRAW = f"(intipfrom % {DRAWS} * {FACTORS[0]} + intipto % {DRAWS} * {FACTORS[1]} + date_diff('day', DATE '1970-01-01', flow_date) % {DRAWS} * {FACTORS[2]}) % {DRAWS}"
+
 
 def case(node: int = 1) -> str:
     """The literal tree as nested CASE."""
@@ -94,15 +98,31 @@ WITH sides AS (SELECT {CELL} AS cell, unnest([f.ipfrom, f.ipto]) AS ip FROM {{fl
 SELECT DISTINCT cell, {PAD.format('ip')} AS padded FROM sides""",
     "kd_assign": f"WITH tagged AS (SELECT {LEAF} AS part FROM {{flows}} f) SELECT part, {N}, CAST({RANK} AS INT) AS rank FROM tagged GROUP BY 1",
     "unique_ips_per_leaf": f"SELECT DISTINCT {LEAF} AS part, unnest([f.intipfrom, f.intipto]) AS intip FROM {{flows}} f",
+    "unique_ip_lists": f"""
+WITH sides AS (SELECT DISTINCT {LEAF} AS part, unnest([f.intipfrom, f.intipto]) AS intip FROM {{flows}} f)
+SELECT part, {N}, min(intip) AS low, max(intip) AS high, CAST(0 AS BIGINT) AS out_of_order FROM sides GROUP BY 1""",
+    "kd_built_scan": f"SELECT f.flow_date, {N}, CAST(sum(f.ipsize) AS BIGINT) AS bytes FROM {{flows}} f WHERE {IN_BOX} GROUP BY 1",
+    "kd_built_leaves": f"SELECT protocol, {N}, count(*) AS inside, true AS many FROM {{flows}} GROUP BY 1",
+    "replaced_partitions": f"""
+SELECT protocol AS part, {N}, CAST(sum(CASE WHEN protocol = 17 THEN 2 * ipsize ELSE ipsize END) AS BIGINT) AS bytes FROM {{flows}} GROUP BY 1""",
+    "loaded_flows": f"""
+SELECT protocol, dstport, {N}, CAST(sum(ipsize) AS BIGINT) AS bytes, min(ipto) AS low, max(flow_date) AS latest FROM {{flows}} GROUP BY 1, 2""",
+    "loaded_dimensions": """
+SELECT 'as' AS kind, ip_start AS low, ip_end AS high, as_name || ' Ex_ample, Inc' AS name FROM {as_ranges}
+UNION ALL SELECT 'country', ip_start, ip_end, country_code || ' ' || country_name FROM {country_ranges}
+UNION ALL SELECT 'dns', intip, intip, dnsname FROM {dns}
+UNION ALL SELECT 'server', intip, intip, 'srv' FROM {servers}""",
+    "loaded_monthly_ranges": "SELECT ip_start, ip_end, mon, as_name FROM {as_ranges_monthly}",
+    "tsv_totals": f"SELECT f.ipto, b.dnsname, {N} FROM {{flows}} f {TO_DNS} GROUP BY 1, 2",
+    "dns_range": f"SELECT intip, dnsname FROM {{dns}} WHERE intip BETWEEN {IP_RANGE[0]} AND {IP_RANGE[1]}",
     "kd_pruned_scan": f"""
 SELECT f.intipfrom, f.intipto, f.flow_date, f.ipsize, {LEAF} AS part FROM {{flows}} f
-WHERE f.intipfrom BETWEEN {BOX.low['intipfrom']} AND {BOX.high['intipfrom']} AND f.intipto <= {BOX.high['intipto']}
-  AND f.flow_date BETWEEN DATE '{BOX.low['flow_date']}' AND DATE '{BOX.high['flow_date']}'""",
+WHERE {IN_BOX}""",
     "partitioned_table": f"SELECT {LEAF} AS part, {N}, CAST(sum(f.ipsize) AS BIGINT) AS bytes FROM {{flows}} f GROUP BY 1",
     "ip_functions": f"""
 SELECT DISTINCT ipto, intipto AS number, {PAD.format('ipto')} AS padded, {QUAD.format('intipto')} AS back, true AS valid FROM {{flows}}""",
-    "as_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, as_name FROM {as_ranges}",
-    "country_range_explode": "SELECT unnest(range(ip_start, least(ip_end, ip_start + 15) + 1)) AS ip, country_code, country_name FROM {country_ranges}",
+    "as_range_explode": "SELECT unnest(range(ip_start, ip_end + 1)) AS ip, as_name FROM {small_as_ranges}",
+    "country_range_explode": "SELECT unnest(range(ip_start, ip_end + 1)) AS ip, country_code, country_name FROM {small_country_ranges}",
     "as_range_addresses": f"SELECT as_name, {ADDRESSES} FROM {{as_ranges}} GROUP BY 1",
     "country_range_addresses": f"SELECT country_code, country_name, {ADDRESSES} FROM {{country_ranges}} GROUP BY 1, 2",
     "city_names": "SELECT loc_id, 'R' || CAST(n_regionkey AS VARCHAR) AS country_code, city FROM {locations}",
@@ -115,10 +135,13 @@ pairs AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INT) AS rank FROM pairs)
 SELECT query_id, rank, neighbour_id, round(distance, 4) AS distance FROM ranked WHERE rank <= {NEIGHBOURS}""",
     "hash_sample": f"""
-SELECT protocol, dstport, {N}, min(intipto) AS low, max(intipto) AS high FROM {{flows}} WHERE (intipfrom * 31 + intipto) % 20 = 0 GROUP BY 1, 2""",
+SELECT protocol, dstport, {N}, min(intipto) AS low, max(intipto) AS high FROM {{flows}} WHERE {DRAW} < {DRAWS // 20} GROUP BY 1, 2""",
     "stream_leaf_counts": f"SELECT {LEAF} AS part, {N}, CAST(sum(f.ipsize) AS BIGINT) AS bytes FROM {{flows}} f GROUP BY 1",
+    "stream_split_totals": f"""
+SELECT CAST(year(flow_date) AS INT) AS year, {N}, CAST(sum(ipsize) AS BIGINT) AS bytes, true AS split, true AS within, true AS routed FROM {{flows}} GROUP BY 1""",
     "stream_event_windows": f"""
-SELECT date_trunc('hour', ts) AS hour, event_type, {N}, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
+SELECT date_trunc('hour', ts) AS hour, event_type, {N}, round(sum(value), 4) AS total FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
     "stream_marked": f"SELECT event_type || '!' AS marked, {N} FROM events GROUP BY 1",
 }
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerscope.functions.ip import int_to_ip, ip_to_int, is_ipv4, pad_ip
-from peerscope.operators import enrich, knn, layout
+from peerscope.operators import enrich, kdtree, knn, layout
 from peerscope.operators.kdtree import KdTree
+from peerscope.sources import loaders
+from peerscope.sources.sinks import write_partitioned, write_tsv
 from peerscope.sources.views import view
 from peerscope.staging import work_folder
 from peerscope.streaming import ingest
@@ -17,6 +21,7 @@ WEEK = ("1998-03-02", "1998-03-08")
 #: The literal tree of the layout queries: split dimension (source, target, date) and value by node id.
 TREE = KdTree(3, 2, {1: (0, 2147483648.0), 2: (1, 2147483648.0), 3: (1, 1073741824.0), 4: (2, 883612800000.0), 5: (2, 915148800000.0), 6: (0, 1073741824.0), 7: (2, 852076800000.0)})
 BOX = layout.Box({"intipfrom": 1200000000, "flow_date": "1998-02-01"}, {"intipfrom": 3000000000, "intipto": 2500000000, "flow_date": "1998-11-30"})
+IP_RANGE = (1 << 31, (1 << 31) + (1 << 29))
 NEIGHBOURS = 10
 
 
@@ -25,9 +30,18 @@ def ordered(frame: DataFrame) -> DataFrame:
     return frame.orderBy(F.desc("n"), *(c for c in frame.columns if c != "n"))
 
 
+def interval_counts(flows: DataFrame, ranges: DataFrame, ip: str, name: str, how: str = "left", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Flows per name of the interval that holds one end. They are counted by address first: an address is looked up once."""
+    return enrich.totalled(enrich.interval_join(enrich.counted(flows, ip, *keys), ranges, ip, how, keys), name)
+
+
+def interval_pair_counts(flows: DataFrame, ranges: DataFrame, how: str = "left", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Flows per pair of addresses with the intervals of both, counted before the joins."""
+    return enrich.interval_pair_join(enrich.counted(flows, "intipfrom", "intipto", *keys), ranges, how, keys)
+
+
 def as_counts(spark: SparkSession, sf_dir: str, ip: str, how: str) -> DataFrame:
-    flows = view(spark, sf_dir, "flows").select(ip)
-    return ordered(enrich.counted(enrich.interval_join(flows, view(spark, sf_dir, "as_ranges"), ip, how), "as_name"))
+    return ordered(interval_counts(view(spark, sf_dir, "flows"), view(spark, sf_dir, "as_ranges"), ip, "as_name", how))
 
 
 def as_ingoing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +60,8 @@ def as_ingoing_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_pair_counts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    ranges = view(spark, sf_dir, "as_ranges")
-    flows = view(spark, sf_dir, "flows").select("intipfrom", "intipto")
-    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges, how), "src_as_name", "dst_as_name"))
+    pairs = interval_pair_counts(view(spark, sf_dir, "flows"), view(spark, sf_dir, "as_ranges"), how)
+    return ordered(enrich.totalled(pairs, "src_as_name", "dst_as_name"))
 
 
 def as_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +81,19 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def country_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per source country; unknown ones stay, as null."""
-    flows = view(spark, sf_dir, "flows").select("intipfrom")
-    return ordered(enrich.counted(enrich.interval_join(flows, countries(spark, sf_dir), "intipfrom"), "country"))
+    return ordered(interval_counts(view(spark, sf_dir, "flows"), countries(spark, sf_dir), "intipfrom", "country"))
 
 
 def country_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per source and target country; either side may be null."""
-    flows, ranges = view(spark, sf_dir, "flows").select("intipfrom", "intipto"), countries(spark, sf_dir)
-    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges), "src_country", "dst_country"))
+    pairs = interval_pair_counts(view(spark, sf_dir, "flows"), countries(spark, sf_dir))
+    return ordered(enrich.totalled(pairs, "src_country", "dst_country"))
 
 
 def city_counts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    located = enrich.interval_join(view(spark, sf_dir, "flows").select("intipfrom"), view(spark, sf_dir, "city_blocks"), "intipfrom", how)
+    located = interval_counts(view(spark, sf_dir, "flows"), view(spark, sf_dir, "city_blocks"), "intipfrom", "loc_id", how)
     places = view(spark, sf_dir, "locations").select("loc_id", "city")
-    return ordered(enrich.totalled(enrich.counted(located, "loc_id").join(places, "loc_id", how), "city"))
+    return ordered(enrich.totalled(located.join(places, "loc_id", how), "city"))
 
 
 def city_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +118,10 @@ def dns_ingoing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_ingoing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per grid cell: counts of each cell's addresses, joined once per address."""
+    """The same per grid cell: each cell's counts are joined with the names of the cell's own addresses."""
     flows = layout.with_cell(view(spark, sf_dir, "flows").select("intipfrom", "intipto"))
-    named = enrich.name_join(enrich.counted(flows, "cell", "intipto"), view(spark, sf_dir, "dns"), "intipto")
+    members = layout.unique_addresses(flows, "cell")
+    named = enrich.partition_join(enrich.counted(flows, "cell", "intipto"), view(spark, sf_dir, "dns"), members, "cell", "intipto")
     return ordered(enrich.totalled(named.withColumn("ipto", int_to_ip(F.col("intipto"))), "ipto", "dnsname"))
 
 
@@ -119,11 +132,28 @@ def dns_ingoing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(named.select("part", int_to_ip(F.col("intipto")).alias("ipto"), "dnsname", "n"))
 
 
+_layouts: dict[tuple, str] = {}
+
+
+def laid_out(spark: SparkSession, sf_dir: str, tree: KdTree, name: str) -> DataFrame:
+    """The flow table in one folder per leaf of ``tree``, laid out once in an application and read from then on.
+
+    A table whose files have changed is laid out anew.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen(), tree.to_json())
+    if key not in _layouts:
+        target = work_folder(spark, name)
+        layout.write_layout(view(spark, sf_dir, "flows"), target, tree)
+        _layouts[key] = target
+    return spark.read.parquet(_layouts[key])
+
+
 def dns_ingoing_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for one week: leaves that miss it are pruned, the date filter does the rest."""
+    """The same for one week, from the laid-out table: folders of leaves that miss it are not opened, the date filter does the rest."""
     week = layout.Box({"flow_date": WEEK[0]}, {"flow_date": WEEK[1]})
-    flows = layout.prune(layout.with_leaf(view(spark, sf_dir, "flows"), TREE), TREE, week)
-    return dns_counts(flows, view(spark, sf_dir, "dns"))
+    return dns_counts(layout.prune(laid_out(spark, sf_dir, TREE, "layout"), TREE, week), view(spark, sf_dir, "dns"))
 
 
 def dns_pair_rows(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
@@ -158,7 +188,8 @@ def dns_pairs_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def server_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per class of known servers."""
-    return enrich.counted(enrich.classified(view(spark, sf_dir, "flows").select("intipfrom", "intipto"), view(spark, sf_dir, "servers")), "server_class")
+    pairs = enrich.counted(view(spark, sf_dir, "flows"), "intipfrom", "intipto")
+    return enrich.totalled(enrich.classified(pairs, view(spark, sf_dir, "servers")), "server_class")
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +198,14 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per target AS as it was named in the flow's month."""
-    named = enrich.interval_join(dated(spark, sf_dir), view(spark, sf_dir, "as_ranges_monthly"), "intipto", keys=("mon",))
-    return ordered(enrich.counted(named, "as_name"))
+    return ordered(interval_counts(dated(spark, sf_dir), view(spark, sf_dir, "as_ranges_monthly"), "intipto", "as_name", keys=("mon",)))
 
 
 def as_pairs_monthly_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per pair of AS names of the month as one text; a missing side is the text ``null``."""
-    ranges = view(spark, sf_dir, "as_ranges_monthly")
-    both = enrich.interval_pair_join(dated(spark, sf_dir), ranges, keys=("mon",))
-    return ordered(enrich.counted(both.select(enrich.pair_text(F.col("src_as_name"), F.col("dst_as_name")).alias("names")), "names"))
+    pairs = interval_pair_counts(dated(spark, sf_dir), view(spark, sf_dir, "as_ranges_monthly"), keys=("mon",))
+    both = enrich.totalled(pairs, "src_as_name", "dst_as_name")  # before texts are made
+    return ordered(enrich.totalled(both.select(enrich.pair_text(F.col("src_as_name"), F.col("dst_as_name")).alias("names"), "n"), "names"))
 
 
 def dns_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,9 +225,9 @@ def dns_pairs_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_as_pairs_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The AS pairs with most flows in one week."""
-    ranges = view(spark, sf_dir, "as_ranges")
-    flows = view(spark, sf_dir, "flows").where(F.col("flow_date").between(*(F.lit(d).cast("date") for d in WEEK))).select("intipfrom", "intipto")
-    return ordered(enrich.counted(enrich.interval_pair_join(flows, ranges), "src_as_name", "dst_as_name")).limit(TOP)
+    flows = view(spark, sf_dir, "flows").where(F.col("flow_date").between(*(F.lit(d).cast("date") for d in WEEK)))
+    pairs = interval_pair_counts(flows, view(spark, sf_dir, "as_ranges"))
+    return ordered(enrich.totalled(pairs, "src_as_name", "dst_as_name")).limit(TOP)
 
 
 def topk_dns_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +241,7 @@ def topk_dns_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_server_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows and bytes to known servers per day."""
     servers = view(spark, sf_dir, "servers").select("intip").distinct()
-    flows = view(spark, sf_dir, "flows").join(enrich.sized(servers, servers.count()), F.col("intipto") == F.col("intip"), "left_semi")
+    flows = view(spark, sf_dir, "flows").join(enrich.sized(servers), F.col("intipto") == F.col("intip"), "left_semi")
     return flows.groupBy("flow_date").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
 
 
@@ -237,21 +267,122 @@ def unique_ips_per_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.unique_addresses(layout.with_leaf(view(spark, sf_dir, "flows"), TREE), "part")
 
 
+def unique_ip_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves' sorted address lists, written and read back: size and bounds of each, and addresses out of order in a file."""
+    path = work_folder(spark, "addresses")
+    layout.write_unique_addresses(layout.with_leaf(view(spark, sf_dir, "flows"), TREE), path, "part")
+    rows = spark.read.parquet(path).select(F.col("part").cast("long").alias("part"), "intip", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    before = F.lag("intip").over(Window.partitionBy("file", "block").orderBy("place"))
+    checked = rows.withColumn("wrong", F.coalesce((F.col("intip") <= before).cast("long"), F.lit(0)))
+    return checked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("intip").alias("low"), F.max("intip").alias("high"), F.sum("wrong").cast("bigint").alias("out_of_order"))
+
+
 def kd_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a box, read from a table laid out by leaves: other leaves' folders are not opened."""
-    path = work_folder(spark, "layout")
-    layout.write_layout(view(spark, sf_dir, "flows"), path, TREE)
-    return layout.prune(spark.read.parquet(path), TREE, BOX).select("intipfrom", "intipto", "flow_date", "ipsize", F.col("part").cast("long").alias("part"))
+    table = layout.prune(laid_out(spark, sf_dir, TREE, "layout"), TREE, BOX)
+    return table.select("intipfrom", "intipto", "flow_date", "ipsize", F.col("part").cast("long").alias("part"))
+
+
+def kd_built_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows and bytes per day of a box, from a table laid out by a tree that was built from the table's own sample.
+
+    The tree has over 64 leaves where there are flows enough, so that rows are routed by the Arrow function.
+    """
+    flows = view(spark, sf_dir, "flows")
+    tree = layout.build_tree(flows, max(2, min(flows.count(), layout.SAMPLE_POINTS) // 100))
+    found = layout.prune(laid_out(spark, sf_dir, tree, "built"), tree, BOX)
+    return found.groupBy("flow_date").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
+
+
+def kd_built_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any built tree: its leaves tile the points, each row is inside its leaf's bounds, the text form routes alike."""
+    flows = view(spark, sf_dir, "flows")
+    rows = flows.count()
+    tree = layout.build_tree(flows, max(2, min(rows, layout.SAMPLE_POINTS) // 100))
+    again = KdTree.from_text(tree.to_text())
+    bounds = spark.createDataFrame([(x, *(float(v) for pair in tree.bounds(x) for v in pair)) for x in tree.leaves()], "part long, " + ", ".join(f"low{k} double, high{k} double" for k in range(tree.dims)))
+    routed = layout.with_leaf(flows, tree).withColumn("other", layout.leaf_function(again, layout.TREE_COLUMNS))
+    tagged = routed.join(enrich.sized(bounds), "part", "left")
+    lowest = F.lit(kdtree.LOWEST)
+    inside = F.lit(True)
+    for k, c in enumerate(layout.TREE_COLUMNS):
+        inside &= ((F.col(f"low{k}") == lowest) | (layout.coordinate(c) > F.col(f"low{k}"))) & (layout.coordinate(c) <= F.col(f"high{k}"))
+    good = F.coalesce(inside & (F.col("part") == F.col("other")), F.lit(False))
+    return tagged.groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.sum(good.cast("long")).cast("bigint").alias("inside"), F.lit(len(tree.leaves()) > 64).alias("many"))
 
 
 def partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows and bytes per partition of the partitioned table, read back from its folders."""
-    path = work_folder(spark, "table")
-    layout.write_layout(view(spark, sf_dir, "flows"), path, TREE)
-    rows = spark.read.parquet(path).withColumn("part", F.col("part").cast("long"))
+    rows = laid_out(spark, sf_dir, TREE, "layout").withColumn("part", F.col("part").cast("long"))
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
 
 
+def replaced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dynamic-partition insert: the table is written, then one protocol's partition again, with doubled sizes; the others stay."""
+    path = work_folder(spark, "table")
+    flows = view(spark, sf_dir, "flows").select("intipto", "ipsize", F.col("protocol").alias("part"))
+    write_partitioned(flows, path)
+    write_partitioned(flows.where("part = 17").withColumn("ipsize", F.col("ipsize") * 2), path)
+    return spark.read.parquet(path).groupBy(F.col("part").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"))
+
+
+def loaded_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows written as text lines, with lines that hold no IPv4 addresses among them, read back by the loader."""
+    path = work_folder(spark, "lines")
+    flows = view(spark, sf_dir, "flows")
+    odd = flows.where("srcport % 100 = 0").withColumn("ipfrom", F.lit("fe80::1"))
+    ingest.write_lines(flows.union(odd), path)
+    return loaders.read_flows(spark, path).groupBy("protocol", "dstport").agg(F.count(F.lit(1)).alias("n"), F.sum("ipsize").cast("bigint").alias("bytes"), F.min("ipto").alias("low"), F.max("flow_date").alias("latest"))
+
+
+def loaded_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dimension files, written in their own formats and read by their loaders, as one list of addresses and names."""
+    folder = work_folder(spark, "dimensions")
+    quoted = lambda frame, name: frame.coalesce(1).write.option("quoteAll", "true").csv(f"{folder}/{name}")
+    ranges = view(spark, sf_dir, "as_ranges").select("ip_start", "ip_end", F.concat("as_name", F.lit(" Ex_ample, Inc")).alias("as_name"))
+    quoted(ranges, "as")
+    lands = view(spark, sf_dir, "country_ranges")
+    quoted(lands.select(int_to_ip(F.col("ip_start")), int_to_ip(F.col("ip_end")).alias("last"), "ip_start", "ip_end", "country_code", "country_name"), "country")
+    names = view(spark, sf_dir, "dns")
+    odd = [F.concat_ws(",", "ip", "dnsname"), F.concat("ip", F.lit(",")), F.concat_ws(",", "ip", "dnsname", F.lit("x"))]
+    names.select(F.explode(F.array(*odd)).alias("value")).write.text(f"{folder}/dns")
+    view(spark, sf_dir, "servers").select(F.concat("ip", F.lit(" srv")).alias("value")).write.text(f"{folder}/servers")
+    parts = [
+        loaders.checked_ranges(loaders.read_as_ranges(spark, f"{folder}/as")).select(F.lit("as").alias("kind"), F.col("ip_start").alias("low"), F.col("ip_end").alias("high"), F.col("as_name").alias("name")),
+        loaders.read_country_ranges(spark, f"{folder}/country").select(F.lit("country"), "ip_start", "ip_end", F.concat_ws(" ", "country_code", "country_name")),
+        loaders.read_dns(spark, f"{folder}/dns").select(F.lit("dns"), "intip", "intip", "dnsname"),
+        loaders.read_servers(spark, f"{folder}/servers").select(F.lit("server"), "intip", "intip", "name"),
+    ]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def loaded_monthly_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges by month, one file for each, read with the month from the file's name."""
+    folder = work_folder(spark, "monthly")
+    ranges = view(spark, sf_dir, "as_ranges_monthly")
+    for month in range(1, 13):
+        ingest.write_file(ranges.where(F.col("mon") == month).select("ip_start", "ip_end", "as_name"), f"{folder}/GeoIPASNum2_{month:02}.csv")
+    return loaders.read_monthly_as_ranges(spark, folder)
+
+
+def tsv_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow counts with and without a name, written as gzip'd tab-separated text and read back."""
+    path = work_folder(spark, "tsv")
+    write_tsv(dns_ingoing_left(spark, sf_dir), path, "gzip")
+    return spark.read.schema("ipto string, dnsname string, n bigint").option("sep", "\t").option("nullValue", "\\N").csv(path)
+
+
+def dns_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a range of addresses, from the dimension stored in key order: other row groups are not read."""
+    return sorted_names(spark, sf_dir).where(F.col("intip").between(*IP_RANGE)).select("intip", "dnsname")
+
+
+def sorted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "names")
+    loaders.load_sorted(view(spark, sf_dir, "dns").select("intip", "dnsname"), path, "intip")
+    return spark.read.parquet(path)
+
+
 def ip_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses in all their forms."""
     ips = view(spark, sf_dir, "flows").select("ipto").distinct()
@@ -260,15 +391,13 @@ def ip_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per address of the single-address ranges, and of the first 16 addresses of the others."""
-    ranges = view(spark, sf_dir, "as_ranges")
-    return ranges.select(F.explode(F.sequence("ip_start", F.least("ip_end", F.col("ip_start") + 15))).alias("ip"), "as_name")
+    """One row per address of every range of small autonomous systems."""
+    return enrich.exploded(view(spark, sf_dir, "small_as_ranges"))
 
 
 def country_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 addresses of each country range, with code and name."""
-    ranges = view(spark, sf_dir, "country_ranges")
-    return ranges.select(F.explode(F.sequence("ip_start", F.least("ip_end", F.col("ip_start") + 15))).alias("ip"), "country_code", "country_name")
+    """One row per address of every small country range, with code and name."""
+    return enrich.exploded(view(spark, sf_dir, "small_country_ranges"))
 
 
 def as_range_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,12 +416,10 @@ def address_totals(addresses: DataFrame, *names: str) -> DataFrame:
 
 def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations after writing them quoted and reading them with the cleaning reader."""
-    from peerscope.sources.loaders import read_locations
-
     path = work_folder(spark, "locations")
     rows = view(spark, sf_dir, "locations").select("loc_id", F.concat(F.lit("R"), "n_regionkey").alias("country_code"), "city")
     rows.write.mode("overwrite").option("quoteAll", "true").csv(path)
-    return read_locations(spark, path)
+    return loaders.read_locations(spark, path)
 
 
 def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,9 +430,9 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reproducible one-in-twenty sample of flows by key, as the tree builder draws it."""
-    flows = view(spark, sf_dir, "flows")
-    return flows.where("(intipfrom * 31 + intipto) % 20 = 0").groupBy("protocol", "dstport").agg(F.count(F.lit(1)).alias("n"), F.min("intipto").alias("low"), F.max("intipto").alias("high"))
+    """A reproducible one-in-twenty sample of flows, by the draw that trees are built from."""
+    flows = layout.sampled(view(spark, sf_dir, "flows"), 0.05)
+    return flows.groupBy("protocol", "dstport").agg(F.count(F.lit(1)).alias("n"), F.min("intipto").alias("low"), F.max("intipto").alias("high"))
 
 
 def stream_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,8 +440,13 @@ def stream_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.replayed(spark, sf_dir, TREE)
 
 
+def stream_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows and bytes per year of a table that grew by a stream of several files while its leaves split, and how it split."""
+    return ingest.grown(spark, sf_dir)
+
+
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and their value per hour and type, by a stream with a watermark."""
+    """Events and their value per hour and type, by a stream: the hours that are closed when its watermark has passed them."""
     return ingest.event_windows(spark, sf_dir)
 
 
@@ -329,8 +461,9 @@ QUERIES = {
         as_ingoing, as_outgoing, as_pairs, as_ingoing_inner, as_pairs_inner, country_outgoing, country_pairs, city_outgoing, city_outgoing_left,
         dns_ingoing_left, dns_ingoing_grid, dns_ingoing_tree, dns_ingoing_week, dns_pairs_inner, dns_pairs_left, dns_pairs_concat, dns_pairs_tree, server_class,
         as_ingoing_monthly, as_pairs_monthly_concat, dns_ingoing_monthly, dns_pairs_monthly, topk_as_pairs_week, topk_dns_bytes, daily_server_traffic,
-        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, kd_pruned_scan, partitioned_table, ip_functions, as_range_explode, country_range_explode,
+        grid_assign, unique_ips_per_cell, kd_assign, unique_ips_per_leaf, unique_ip_lists, kd_pruned_scan, kd_built_scan, kd_built_leaves, partitioned_table, replaced_partitions,
+        loaded_flows, loaded_dimensions, loaded_monthly_ranges, tsv_totals, dns_range, ip_functions, as_range_explode, country_range_explode,
         as_range_addresses, country_range_addresses, city_names,
-        knn_embeddings, hash_sample, stream_leaf_counts, stream_event_windows, stream_marked,
+        knn_embeddings, hash_sample, stream_leaf_counts, stream_split_totals, stream_event_windows, stream_marked,
     )
 }

@@ -13,27 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one."""
+    """The folder of ``spark.checkpoint.dir``; in local mode, as in tests, a new local one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="peerscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/peerscope/{uuid.uuid4().hex}/{name}"
+    """A new folder's path below the shared one. What is written there goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/peerscope/{uuid.uuid4().hex}/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only what exists can be marked
+    files.deleteOnExit(folder)
+    return path
 
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back, with the same schema. The files go when the application ends."""
-    spark = frame.sparkSession
-    path = work_folder(spark, name)
+    path = work_folder(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def drop_staged(frame: DataFrame) -> None:

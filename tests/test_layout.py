@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,8 +97,10 @@ def test_address_box():
     assert box.low == {"intipfrom": 1, "flow_date": "2024-01-01"} and box.high["intipfrom"] == 256
 
 
-def test_nearest_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 7)
+@pytest.mark.parametrize("blocks", [3, 7, 2048])
+def test_nearest_neighbours(spark, monkeypatch, blocks):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", blocks)
+    monkeypatch.setattr(knn, "PASS_BLOCKS", 2)
     random = np.random.default_rng(2)
     vectors = random.integers(0, 4, (120, 3)).astype(float)
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(500, None)], "vec_id long, embedding array<double>").repartition(3)
