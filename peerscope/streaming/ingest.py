@@ -134,10 +134,10 @@ class LeafTable:
         tagged = layout.with_leaf(rows, tree, self.columns).withColumn("leaf", F.col("part"))
         path = f"{self.path}/data/{folder}"
         tagged.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
-        points = layout.sampled(self.spark.read.schema(tagged.schema).parquet(path), SAMPLE_SHARE, self.columns).select(*self.columns, "part")
+        written = self.spark.read.schema(tagged.schema).parquet(path)
+        points = layout.sampled(written, SAMPLE_SHARE, self.columns).select(*self.columns, "part")
         points.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/sample/{folder}")
-        written = self.spark.read.parquet(path) if not rows.isEmpty() else None
-        return {r["leaf"]: r["count"] for r in written.groupBy("leaf").count().collect()} if written is not None else {}
+        return {r["part"]: r["count"] for r in written.groupBy("part").count().collect()}
 
     def _split(self, now: Manifest, leaf: int, batch_id: int) -> list[int]:
         """Rewrite a leaf as two; the children that are still too large. A leaf of equal points stays."""

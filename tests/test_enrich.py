@@ -108,3 +108,29 @@ def test_whole_ranges_are_exploded(spark):
     want = sorted((ip, name) for a, b, name in rows if a is not None for ip in range(a, b + 1))
     for piece in (16, 1 << 16):
         assert sorted((r.ip, r.name) for r in enrich.exploded(frame.where("ip_end < 1000 or ip_start > 1000"), piece).select("ip", "name").collect()) == want
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "x" * 1000), (2, None)], "intip bigint, dnsname string")
+    assert 2000 < enrich.measured(names) < 3000 and enrich.measured(names.limit(0)) == 0
+    plan = lambda: sinks.explained(enrich.sized(names).join(names, "intip"), "simple")
+    assert "Broadcast" in plan()
+    monkeypatch.setattr(enrich, "BROADCAST_BYTES", 1000)
+    assert "ResolvedHint" not in enrich.sized(names)._jdf.queryExecution().logical().toString()
+
+
+def test_names_joined_part_by_part(spark):
+    counts = spark.createDataFrame([(1, 10, 5), (2, 10, 7), (2, 11, 1)], "cell bigint, intipto bigint, n bigint")
+    names = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "intip bigint, dnsname string")
+    members = spark.createDataFrame([(1, 10), (2, 10)], "cell bigint, intip bigint")
+    assert rows(enrich.partition_join(counts, names, members, "cell", "intipto")) == [(1, 10, 5, "a"), (2, 10, 7, "a"), (2, 11, 1, None)]
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from peerscope import staging
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(SimpleNamespace(conf={}, sparkContext=context))

@@ -85,6 +85,55 @@ def test_pruned_scan_reads_few_folders_and_loses_nothing(spark, tmp_path):
     assert layout.predicate_text(TREE, BOX).startswith("WHERE part='")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/New_York", "Pacific/Kiritimati"])
+def test_boxes_of_days_lose_no_row_in_any_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        flows = view(spark, DATA, "flows")
+        tree = layout.build_tree(flows, 300)
+        layout.write_layout(flows, str(tmp_path / "t"), tree)
+        table = spark.read.parquet(str(tmp_path / "t"))
+        edges = [v for d, v in tree.splits.values() if d == 2][:6]
+        assert edges and all(v % layout.DAY == 0 for v in edges)
+        for value in edges:
+            day = str(np.datetime64(int(value // layout.DAY), "D"))
+            box = layout.Box({"flow_date": day}, {"flow_date": day})
+            assert layout.prune(table, tree, box).count() == flows.where(box.condition()).count() > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_the_week_opens_few_folders(spark):
+    from peerscope.plans.queries import dns_ingoing_week, kd_pruned_scan, laid_out, sorted_names
+
+    filters = explained(dns_ingoing_week(spark, DATA)).split("PartitionFilters: [")[1].split("]")[0]
+    assert "part#" in filters and "IN" in filters
+    assert "part#" in explained(kd_pruned_scan(spark, DATA)).split("PartitionFilters")[1].split("\n")[0]
+    assert laid_out(spark, DATA, TREE, "layout").inputFiles()[0] == laid_out(spark, DATA, TREE, "layout").inputFiles()[0]
+    names = sorted_names(spark, DATA).where("intip between 5 and 10")
+    assert "GreaterThanOrEqual(intip,5)" in explained(names).split("PushedFilters")[1].split("\n")[0]
+
+
+def test_sorted_loads_prune_files(spark, tmp_path):
+    """Each file of a dimension in key order holds a range of its own, which the footer's bounds show."""
+    import pyarrow.parquet as pq
+
+    from peerscope.sources.loaders import load_sorted
+
+    load_sorted(view(spark, DATA, "dns").select("intip", "dnsname").repartition(3), str(tmp_path / "dns"), "intip")
+    bounds = sorted((x.min, x.max) for f in (tmp_path / "dns").glob("*.parquet") if (m := pq.read_metadata(f)).num_rows for x in [m.row_group(0).column(0).statistics])
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:])) and bounds
+
+
+def test_even_grid_is_arithmetic(spark):
+    points = layout.even_points()
+    ips = sorted({0, 1, (1 << 32) - 1, *points, *(p + 1 for p in points), *(p - 1 for p in points)})
+    frame = spark.createDataFrame([(x,) for x in ips], "ip bigint")
+    got = frame.select(layout.grid_index(F.col("ip")).alias("a"), layout.grid_index(F.col("ip"), points).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
 def test_grid_edges(spark):
     flows = spark.createDataFrame([(10, 20), (20, 10), (11, 25), (9, 9), (21, 21)], "intipfrom bigint, intipto bigint")
     got = [r.cell for r in layout.with_cell(flows, [10, 20]).collect()]
@@ -92,6 +141,13 @@ def test_grid_edges(spark):
     assert got == [0 * 3 + 1, 0 * 3 + 1, 1 * 3 + 2, 0, 2 * 3 + 2]
 
 
+def test_samples_are_bounded_and_alike(spark):
+    flows = view(spark, DATA, "flows")
+    a, b = (layout.sampled_points(x, layout.TREE_COLUMNS, 500) for x in (flows, flows.repartition(7)))
+    assert np.array_equal(a, b) and 250 < len(a) < 1000
+    assert 0 < layout.sampled(flows, 0.05).count() < flows.count() / 10
+
+
 def test_address_box():
     box = layout.address_box(("0.0.0.1", "0.0.1.0"), None, ("2024-01-01", "2024-01-02"))
     assert box.low == {"intipfrom": 1, "flow_date": "2024-01-01"} and box.high["intipfrom"] == 256
