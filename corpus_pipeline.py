@@ -1,7 +1,12 @@
 """A pipeline over ``documents``: each stage works on what its predecessor kept.
 
-Language ID drops texts without letters and those whose language is ambiguous, the two deduplication stages keep one document of each group, the
-suffix stage cuts repeated passages out of the texts, and packing places the tokens of what is left.
+Language ID drops texts without letters, null and empty ones among them, and those whose language is ambiguous. The two
+deduplication stages keep one document of each group: of equal texts the largest id, of near copies the smallest; rows
+that are alike in id and text count as copies. The suffix stage cuts repeated passages out of the texts, and documents
+of which nothing is left go. Packing places the tokens of what is left.
+
+Rows of null and repeated ids are documents of their own throughout. Texts may be as long as a row can be; further
+columns, of any name, are carried along up to packing. An empty table gives no rows. Ties are stated by each operator.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from peerscope.llm import exact_dedup, langid, near_dedup, packing, suffix_dedup
 from peerscope.llm.queries import tokenizer_path
-from peerscope.staging import staged
+from peerscope.staging import drop_staged, scratch, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(docs, keep_columns=True)
+    if "n_chars" not in cut.columns:
+        return cut
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(cut.schema["n_chars"].dataType), "n_chars"))
 
 
@@ -49,7 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = staged(stage(spark, docs, sf_dir), name, outlive=True)
+        if read is not None:
+            drop_staged(read)
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,10 @@ A long plan that is read more than once is written as Parquet below the folder n
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +35,33 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written to the shared folder and read back, with the same schema. The files go when the application ends."""
+#: The staged tables of each ``scratch`` block that is open, innermost last.
+_blocks: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end, but for those that are to outlive it: these belong to the block around."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for table in _blocks.pop():
+            drop_staged(table)
+
+
+def staged(frame: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """``frame`` written to the shared folder and read back, with the same schema.
+
+    The files go at the end of the ``scratch`` block, or of the one around it with ``outlive``; without one, when the
+    application ends.
+    """
     path = work_folder(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    for block in _blocks[-2:-1] if outlive else _blocks[-1:]:
+        block.append(table)
+    return table
 
 
 def drop_staged(frame: DataFrame) -> None:
