@@ -35,8 +35,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: The staged tables of each ``scratch`` block that is open, innermost last.
-_blocks: list[list[DataFrame]] = []
+#: The folders staged in each ``scratch`` block that is open, innermost last.
+_blocks: list[list[tuple[SparkSession, str]]] = []
 
 
 @contextlib.contextmanager
@@ -46,8 +46,14 @@ def scratch() -> Iterator[None]:
     try:
         yield
     finally:
-        for table in _blocks.pop():
-            drop_staged(table)
+        for spark, folder in _blocks.pop():
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table's files with the folder that was made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(frame: DataFrame, name: str, outlive: bool = False) -> DataFrame:
@@ -60,13 +66,11 @@ def staged(frame: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     frame.write.option("compression", "zstd").parquet(path)
     table = frame.sparkSession.read.schema(frame.schema).parquet(path)
     for block in _blocks[-2:-1] if outlive else _blocks[-1:]:
-        block.append(table)
+        block.append((frame.sparkSession, path))
     return table
 
 
 def drop_staged(frame: DataFrame) -> None:
     """Delete the files of a table from ``staged`` that nothing reads any more."""
-    spark = frame.sparkSession
     for file in frame.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(frame.sparkSession, file.rsplit("/", 1)[0])
