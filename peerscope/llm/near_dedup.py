@@ -29,7 +29,7 @@ from peerscope.llm.blocks import lean, row_ranges, utf8_column
 from peerscope.llm.components import components
 from peerscope.llm.polyhash import PrefixHash, mixed
 from peerscope.llm.rows import free_name, numbered, told_apart
-from peerscope.staging import staged
+from peerscope.staging import scratch, staged
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 10
@@ -417,31 +417,32 @@ def near_groups(documents: DataFrame, words: int = 5, percent: int = 80, id_colu
 def linked_rows(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str, block: int = BLOCK) -> DataFrame:
     """``near_groups`` of rows whose ids are different integers or null."""
     kind = documents.schema[id_column].dataType
-    sketched = staged(summaries(documents, words, id_column, text_column), "sketches")
-    filled = sketched.where("n_shingles > 0 and id is not null")
-    classes = staged(filled.groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    firsts = classes.select(F.col("first").alias("id"))
-    whole = staged(filled.join(firsts, "id", "left_semi").select("id", "n_shingles", "registers", "keys"), "sketches")
-
-    keys = whole.select("id", grade(percent).alias("grade"), F.posexplode("keys").alias("band", "key")).where("key <> 0")
-    centres = staged(keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"), "centres")
-    members = staged(keys.join(centres, "key").select("key", "band", "id", "grade", "centre"), "members")
-    texts = staged(squeezed(documents, members.select("id").distinct(), id_column, text_column), "texts")
-    pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = staged(verified(staged(likely(pairs, whole, percent), "pairs"), texts, words, percent), "verified")
-    labels = staged(labelled(whole, links), "labels")
-
-    dealt = dealt_buckets(members.drop("centre"), labels, percent, block)
-    sketch = whole.select("id", "n_shingles", "registers")
-    by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "side", "id")
-    close = by_bucket(dealt.join(sketch, "id")).mapInArrow(lean(lambda b: promising(b, percent)), "key long, band int, side int, id long, label long")
-    close = staged(close, "promising")
-    if not close.isEmpty():
-        detailed = by_bucket(close.join(sketch, "id").join(texts, "id"))
-        more = staged(detailed.mapInArrow(lean(lambda b: links_across(b, words, percent)), "a long, b long"), "verified")
-        if not more.isEmpty():
-            stars = labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
-            labels = staged(labelled(whole, stars.union(more)), "labels")
+    with scratch():
+        sketched = staged(summaries(documents, words, id_column, text_column), "sketches", outlive=True)
+        filled = sketched.where("n_shingles > 0 and id is not null")
+        classes = staged(filled.groupBy("digest").agg(F.min("id").alias("first")), "classes", outlive=True)
+        firsts = classes.select(F.col("first").alias("id"))
+        whole = staged(filled.join(firsts, "id", "left_semi").select("id", "n_shingles", "registers", "keys"), "sketches")
+
+        keys = whole.select("id", grade(percent).alias("grade"), F.posexplode("keys").alias("band", "key")).where("key <> 0")
+        centres = staged(keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"), "centres")
+        members = staged(keys.join(centres, "key").select("key", "band", "id", "grade", "centre"), "members")
+        texts = staged(squeezed(documents, members.select("id").distinct(), id_column, text_column), "texts")
+        pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        links = staged(verified(staged(likely(pairs, whole, percent), "pairs"), texts, words, percent), "verified")
+        labels = staged(labelled(whole, links), "labels", outlive=True)
+
+        dealt = dealt_buckets(members.drop("centre"), labels, percent, block)
+        sketch = whole.select("id", "n_shingles", "registers")
+        by_bucket = lambda x: x.repartition("key").sortWithinPartitions("key", "side", "id")
+        close = by_bucket(dealt.join(sketch, "id")).mapInArrow(lean(lambda b: promising(b, percent)), "key long, band int, side int, id long, label long")
+        close = staged(close, "promising")
+        if not close.isEmpty():
+            detailed = by_bucket(close.join(sketch, "id").join(texts, "id"))
+            more = staged(detailed.mapInArrow(lean(lambda b: links_across(b, words, percent)), "a long, b long"), "verified")
+            if not more.isEmpty():
+                stars = labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+                labels = staged(labelled(whole, stars.union(more)), "labels", outlive=True)
 
     own = classes.join(labels.withColumnRenamed("id", "first"), "first").select("digest", "label")
     out = sketched.drop("registers", "keys").join(own, "digest", "left")

@@ -35,7 +35,7 @@ from peerscope.llm.blocks import lean, utf8_column
 from peerscope.llm.polyhash import PrefixHash, mixed
 from peerscope.llm.rows import free_name, numbered, told_apart
 from peerscope.llm.suffix_sort import sorted_in_groups
-from peerscope.staging import staged
+from peerscope.staging import scratch, staged
 
 SPAN, GRAM = 100, 32
 #: Bytes of text hashed at once, and the bytes around a part of a long document that its anchors depend on.
@@ -406,7 +406,8 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, id_column: str = "doc
     if not told_apart(documents, id_column):
         key = free_name(documents, "__row")
         rows = numbered(documents, id_column, text_column, key, nulls_first=True)
-    found = staged(span_lists(repeated_spans(rows, span, GRAM, key, text_column, most_contexts)), "spans")
+    with scratch():
+        found = staged(span_lists(repeated_spans(rows, span, GRAM, key, text_column, most_contexts)), "spans", outlive=True)
     own_id, own_spans = free_name(rows, "__id"), free_name(rows, "__spans")
     lists = found.select(F.col("id").alias(own_id), F.col("spans").alias(own_spans))
     joined = rows.join(lists, F.col(key) == F.col(own_id), "left")

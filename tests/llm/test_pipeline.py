@@ -53,3 +53,34 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "suffix_dedup", "packing"]
+
+
+def written(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [], schema)).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_extra_columns_and_long_texts(spark, tmp_path):
+    draw = random.Random(5)
+    text = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(n))
+    a, b, c, d, long = text(60), text(60), text(60), text(60), text(40_000)
+    near = b + " and one more word"
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, c), (9, near), (10, None), (11, ""), (12, "12 34"), (13, long), (14, long)]
+    schema = "doc_id bigint, text string, lang string, __id int, __row string, part string, ids int"
+    folder = written(spark, tmp_path, [(k, t, None, 1, "r", "p", 2) for k, t in rows], schema)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "__id", "__row", "part", "ids"], name
+    kept = sorted((repr(r.doc_id), r.text) for r in docs.collect())
+    # of c the larger id stays, of the near copies the smaller, which a null id is not
+    assert kept == sorted([("None", a), ("7", d), ("8", c), ("9", near), ("14", long)])
+    encoder = FragmentEncoder(tokenizer_path(), tuple)
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r.length for r in packed if r.doc_id != 14) == sorted(len(encoder.whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in kept if k != "14")
+    assert sum(r.length for r in packed if r.doc_id == 14) == len(encoder.whole.encode(long, add_special_tokens=False).ids) + 1
