@@ -42,8 +42,8 @@ SPAN, GRAM = 100, 32
 PART_BYTES, HALO = 1 << 19, 256
 #: Contexts of one gram beyond which it is refined instead of being sorted in one task.
 MOST_CONTEXTS = 5_000
-#: Contexts that are sorted together.
-SORTED_TOGETHER = 40_000
+#: Contexts that are sorted together; their prefix hashes and byte matrices take about 5 KB each.
+SORTED_TOGETHER = 12_000
 PLACE_BITS = 40
 CONTEXTS = "gram long, low int, high int, id long, place long, before int, context binary"
 
@@ -228,9 +228,8 @@ def context_matrices(context: pa.Array, before: np.ndarray, span: int, gram: int
     after = size - before
     anchor = offsets[:-1] + before
     right, left = np.arange(span), np.arange(span - gram)
-    top = max(len(data) - 1, 0)
-    behind = data[np.minimum(anchor[:, None] + right, top)]
-    ahead = data[np.maximum(anchor[:, None] - 1 - left, 0)]
+    behind = np.take(data, anchor[:, None] + right, mode="clip")
+    ahead = np.take(data, anchor[:, None] - 1 - left, mode="clip")
     behind[right >= after[:, None]] = 0
     ahead[left >= before[:, None]] = 0
     return behind, ahead, after

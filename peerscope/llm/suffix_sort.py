@@ -16,7 +16,9 @@ from peerscope.llm.polyhash import BASES, WEIGHTS, powers
 def prefix_table(rows: np.ndarray) -> np.ndarray:
     """For each row of bytes the hashes of its prefixes of 0, 1, ... bytes."""
     out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
-    np.cumsum(WEIGHTS[0][rows] * powers(BASES[0], rows.shape[1]), axis=1, out=out[:, 1:])
+    np.take(WEIGHTS[0], rows, out=out[:, 1:])
+    out[:, 1:] *= powers(BASES[0], rows.shape[1])
+    np.cumsum(out[:, 1:], axis=1, out=out[:, 1:])
     return out
 
 
