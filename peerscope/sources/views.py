@@ -39,9 +39,9 @@ FROM {as_ranges} r CROSS JOIN (SELECT DISTINCT CAST(month(CAST(l_shipdate AS DAT
 SELECT n_nationkey * CAST(171798691 AS BIGINT) AS ip_start, n_nationkey * CAST(171798691 AS BIGINT) + 154618821 AS ip_end,
        'C' || CAST(n_nationkey AS VARCHAR(3)) AS country_code, n_name AS country_name FROM {nation}""",
     "small_as_ranges": """
-SELECT p_partkey * 65536 AS ip_start, p_partkey * 65536 + p_size * p_size - 1 AS ip_end, 'AS' || CAST(64512 + p_partkey % 1000 AS VARCHAR(8)) AS as_name FROM {part}""",
+SELECT p_partkey * 65536 AS ip_start, p_partkey * 65536 + p_size - 1 AS ip_end, 'AS' || CAST(64512 + p_partkey % 1000 AS VARCHAR(8)) AS as_name FROM {part}""",
     "small_country_ranges": """
-SELECT n_nationkey * CAST(16777216 AS BIGINT) AS ip_start, n_nationkey * CAST(16777216 AS BIGINT) + n_nationkey * 3000 AS ip_end,
+SELECT n_nationkey * CAST(16777216 AS BIGINT) AS ip_start, n_nationkey * CAST(16777216 AS BIGINT) + n_nationkey * 100 AS ip_end,
        'C' || CAST(n_nationkey AS VARCHAR(3)) AS country_code, n_name AS country_name FROM {nation}""",
     "city_blocks": """
 SELECT n_nationkey * CAST(171798691 AS BIGINT) AS ip_start, n_nationkey * CAST(171798691 AS BIGINT) + 100000000 AS ip_end,
