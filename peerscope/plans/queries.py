@@ -402,16 +402,21 @@ def country_range_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_range_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number, bounds and sum of all addresses of each autonomous system, from one row per address of its ranges."""
-    return address_totals(enrich.exploded(view(spark, sf_dir, "as_ranges")), "as_name")
+    return address_totals(view(spark, sf_dir, "as_ranges"), "as_name")
 
 
 def country_range_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per country."""
-    return address_totals(enrich.exploded(view(spark, sf_dir, "country_ranges")), "country_code", "country_name")
+    return address_totals(view(spark, sf_dir, "country_ranges"), "country_code", "country_name")
 
 
-def address_totals(addresses: DataFrame, *names: str) -> DataFrame:
-    return addresses.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("ip").alias("low"), F.max("ip").alias("high"), F.sum("ip").alias("total"))
+def address_totals(ranges: DataFrame, *names: str) -> DataFrame:
+    """Totals of the exploded addresses, by range first: addresses go with a number instead of names."""
+    start = F.col("ip_start").alias("range")
+    own = enrich.exploded(ranges.select("ip_start", "ip_end", start)).groupBy("range")
+    found = own.agg(F.count(F.lit(1)).alias("n"), F.min("ip").alias("low"), F.max("ip").alias("high"), F.sum("ip").alias("total"))
+    named = found.join(ranges.select(start, *names), "range")
+    return named.groupBy(*names).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
 
 
 def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
