@@ -49,3 +49,12 @@ def test_only_needed_columns_are_read(spark):
     plan = explained(QUERIES["as_outgoing"](spark, DATA))
     assert "ReadSchema: struct<l_suppkey:bigint>" in plan
     assert "BroadcastHashJoin LeftOuter" in plan
+
+
+def test_months_need_no_join_without_keys_and_no_scan_of_the_flows(spark):
+    from peerscope.sources.sinks import explained
+    from peerscope.sources.views import view
+
+    for name in ("as_ranges", "as_ranges_monthly", "dns_monthly"):
+        plan = explained(view(spark, DATA, name))
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "lineitem" not in plan
