@@ -211,7 +211,7 @@ def as_pairs_monthly_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dns_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per target address and its name in the flow's month."""
     counts = enrich.counted(dated(spark, sf_dir), "intipto", "mon")
-    named = enrich.name_join(counts, view(spark, sf_dir, "dns_monthly"), "intipto", keys=("mon",))
+    named = enrich.name_join(counts, enrich.bounded(view(spark, sf_dir, "dns_monthly")), "intipto", keys=("mon",))
     return ordered(enrich.totalled(named.withColumn("ipto", int_to_ip(F.col("intipto"))), "ipto", "dnsname"))
 
 

@@ -58,3 +58,17 @@ def test_months_need_no_join_without_keys_and_no_scan_of_the_flows(spark):
     for name in ("as_ranges", "as_ranges_monthly", "dns_monthly"):
         plan = explained(view(spark, DATA, name))
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "lineitem" not in plan
+
+
+@pytest.mark.parametrize("name", ["dns_ingoing_monthly"])
+def test_many_monthly_names_are_not_broadcast(spark, duck, monkeypatch, name):
+    """The estimated bytes of the exploded names are few even where their counted bytes are too many."""
+    from peerscope.operators import enrich
+    from peerscope.sources.sinks import explained
+
+    assert "BroadcastHashJoin" in explained(QUERIES[name](spark, DATA))
+    monkeypatch.setattr(enrich, "BROADCAST_BYTES", 1 << 10)
+    got = QUERIES[name](spark, DATA)
+    plan = explained(got)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert as_rows(got.toPandas()) == as_rows(duck.execute(ORACLE_SQL[name]).df())
