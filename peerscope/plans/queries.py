@@ -217,7 +217,7 @@ def dns_ingoing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dns_pairs_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows per pair of names of the month as one text."""
-    names = view(spark, sf_dir, "dns_monthly")
+    names = enrich.bounded(view(spark, sf_dir, "dns_monthly"))
     counts = enrich.counted(dated(spark, sf_dir), "intipfrom", "intipto", "mon")
     both = enrich.name_join(enrich.name_join(counts, names, "intipfrom", keys=("mon",), as_name="a"), names, "intipto", keys=("mon",), as_name="b")
     return ordered(enrich.totalled(both.select(enrich.pair_text(F.col("a"), F.col("b")).alias("names"), "n"), "names"))

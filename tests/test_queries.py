@@ -60,7 +60,7 @@ def test_months_need_no_join_without_keys_and_no_scan_of_the_flows(spark):
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "lineitem" not in plan
 
 
-@pytest.mark.parametrize("name", ["dns_ingoing_monthly"])
+@pytest.mark.parametrize("name", ["dns_ingoing_monthly", "dns_pairs_monthly"])
 def test_many_monthly_names_are_not_broadcast(spark, duck, monkeypatch, name):
     """The estimated bytes of the exploded names are few even where their counted bytes are too many."""
     from peerscope.operators import enrich
